@@ -46,7 +46,8 @@ def _phrase_hits(postings: DataFrame, terms: DataFrame) -> DataFrame:
     size = terms.groupBy("query_id").agg(F.sum("times").alias("n_words"))
     words = terms.select("query_id", "stage", "term", F.explode("places").alias("place"))
     at = words.join(postings, "term").where(_allowed(F.col("stage"), F.col("col")))
-    starts = at.select("query_id", "stage", "chunk_id", "col", "place", (F.explode("positions") - F.col("place")).alias("start"))
+    starts = at.select("query_id", "stage", "chunk_id", "col", "place", F.explode("positions").alias("position"))
+    starts = starts.withColumn("start", F.col("position") - F.col("place"))
     whole = starts.groupBy("query_id", "stage", "chunk_id", "col", "start").agg(F.count_distinct("place").alias("n")).join(size, "query_id").where("n = n_words")
     return whole.groupBy("query_id", "stage", "chunk_id", "col").agg(F.count("*").alias("tf"))
 
@@ -82,7 +83,7 @@ def search(index: Index, chunks: DataFrame, queries: DataFrame, limit: int = MAX
     math_count, token_estimate, score, match, snippet).
 
     ``queries(query_id, query)`` may have document_id, page_lo, page_hi and chunk_type: passages of that document and
-    type that overlap those pages, null: any. Filters narrow before the stage is chosen. Equal scores go by chunk_id.
+    type that overlap those pages, null: any. Filters narrow before the stage is chosen. Scores that agree in nine places go by chunk_id.
     """
     found = hits(index, queries)
     wanted = [c for c in ("document_id", "page_lo", "page_hi", "chunk_type") if c in queries.columns]
@@ -95,7 +96,7 @@ def search(index: Index, chunks: DataFrame, queries: DataFrame, limit: int = MAX
     rows = rows.where(any_or("chunk_type", F.col("chunk_type") == F.col("f_chunk_type")) if "chunk_type" in wanted else F.lit(True))
     first = rows.groupBy("query_id").agg(F.min("stage").alias("first"))
     rows = rows.join(first, "query_id").where(F.col("stage") == F.col("first"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     rows = rows.withColumn("rank", rank).where(F.col("rank") <= limit)
     match = F.get(F.array(*(F.lit(s) for s in STAGES)), F.col("stage"))
     return rows.select("query_id", "rank", "chunk_id", "document_id", "page_start", "page_end", "heading", "chunk_type", "math_count", "token_estimate", F.bround("score", 3).alias("score"), match.alias("match"), T.snippet(F.col("content")).alias("snippet"))
