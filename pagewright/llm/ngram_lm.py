@@ -26,6 +26,8 @@ START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: The remainder of crc32(doc_id) mod FOLDS that is held out, and the one that the weights are learned on.
 FOLDS, HELD_OUT, SLICE = 10, 0, 1
 BUCKETS = 32
+#: Bytes of the table in a block, and in a key range of the reducers, about: bound the memory of a task.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 #: Steps of log10 probability to which the learning of weights rounds: bounds what the driver gathers.
 GRID = 50
 REQUEST = "block long, kind int, ord int, bucket int, keys binary, counts binary"
@@ -90,23 +92,21 @@ def _packed(block: int, kind: int, order: int, keys: np.ndarray, counts: np.ndar
 
 def _request(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[pa.RecordBatch] = list(batches)
-        rows = [b for b in rows if b.num_rows]
+        rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        rows.clear()
-        kinds = table.column(1).to_numpy()
-        block = table.column(0)[0].as_py()
-        for em in (0, 1):
-            own = np.flatnonzero(kinds == 1) if em else np.flatnonzero(kinds != 1)
-            if not len(own):
-                continue
+        blocks, kinds = table.column(0).to_numpy(), table.column(1).to_numpy()
+        for block in np.unique(blocks).tolist():
+            own = np.flatnonzero(blocks == block)
             grams = Grams(table.column(2).take(pa.array(own)).combine_chunks())
-            counted = np.repeat((kinds[own] != 0), grams.length)
+            counted = np.repeat(kinds[own] != 0, grams.length)
             for order, keys in ((1, grams.token), (2, grams.pair)):
-                keys, at = np.unique(keys, return_inverse=True)
-                yield _batch(list(_packed(2 * block + em, em, order, keys, np.bincount(at, counted, len(keys)), bits)), REQUEST)
+                at = np.argsort(keys, kind="stable")
+                keys = keys[at]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                counts = np.add.reduceat(counted[at].astype(np.uint32), first)
+                yield _batch(list(_packed(block, int(kinds[own[0]] == 1), order, keys[first], counts, bits)), REQUEST)
 
     return run
 
@@ -125,14 +125,25 @@ def _sum(table: pa.Table) -> pa.Table:
     keys = [np.frombuffer(k.as_buffer(), "<u8") for k in table.column("keys")]
     counts = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in table.column("counts")])
     size = np.array([len(k) for k in keys])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, counts, len(distinct)).astype("<u4")
-    part = np.bincount(at, counts * np.repeat(np.array(kinds) == 1, size), len(distinct)).astype("<u4")
-    rows = [(-1, order, bucket, None, None, int((total > 0).sum()), int(total.sum(dtype=np.int64)), int(part.sum(dtype=np.int64)))]
     ends = np.cumsum(size)
+    keys = np.concatenate(keys)
+    at = np.argsort(keys, kind="stable")
+    keys = keys[at]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    width = np.diff(np.append(first, len(keys)))
+
+    def sums(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of each distinct key, the same at every entry)."""
+        each = np.add.reduceat(counts[at], first, dtype=np.uint32)
+        back = np.empty(len(at), dtype="<u4")
+        back[at] = np.repeat(each, width)
+        return each, back
+
+    total, totals = sums(counts)
+    part, parts = sums(counts * np.repeat(np.array(kinds) == 1, size))
+    rows = [(-1, order, bucket, None, None, int((total > 0).sum()), int(total.sum(dtype=np.int64)), int(part.sum(dtype=np.int64)))]
     for block, kind, hi, n in zip(blocks, kinds, ends, size, strict=True):
-        own = at[hi - n : hi]
-        rows.append((block, order, bucket, total[own].tobytes(), part[own].tobytes() if kind else None, 0, 0, 0))
+        rows.append((block, order, bucket, totals[hi - n : hi].tobytes(), parts[hi - n : hi].tobytes() if kind else None, 0, 0, 0))
     return pa.Table.from_batches([_batch(rows, REPLY)])
 
 
@@ -233,8 +244,13 @@ class Model:
         ship(docs.sparkSession)
         fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
         kind = F.when(fold == HELD_OUT, 0).when(fold == SLICE, 1).otherwise(2)
-        self.docs = docs.select(F.spark_partition_id().cast("long").alias("block"), kind.alias("kind"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-        bits = max(0, (docs.rdd.getNumPartitions() - 1).bit_length())
+        # blocks of about BLOCK_BYTES: shares of a partition; the slice's documents are blocks of their own
+        size, partitions = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), max(1, docs.rdd.getNumPartitions())
+        shares = max(1, -(-size // partitions // BLOCK_BYTES))
+        share = F.when(kind == 1, shares).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shares)))
+        block = F.spark_partition_id().cast("long") * (shares + 1) + share
+        self.docs = docs.select(block.alias("block"), kind.alias("kind"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+        bits = max(5, (size // RANGE_BYTES).bit_length())
         requests = self.docs.select("block", "kind", "text").mapInArrow(_request(bits), REQUEST)
         self.replies = ws.save(requests.groupBy("ord", "bucket").applyInArrow(_sum, REPLY), "counts")
         sums = self.replies.where("block = -1 and ord = 1").agg(F.sum("v"), F.sum("n"), F.sum("n_part")).first()
@@ -247,10 +263,9 @@ class Model:
         self.weights = learn_weights(seen[:, 0].astype(np.int64), value(seen[:, 1]), value(seen[:, 2]), 1 / (self.v + 1), seen[:, 3])
 
     def _blocks(self, em: bool | None, run, schema: str) -> DataFrame:
-        docs = self.docs.withColumn("block", 2 * F.col("block") + F.when(F.col("kind") == 1, 1).otherwise(0))
-        replies = self.replies.where("block >= 0").select("block", "ord", "bucket", "total", "part")
+        docs, replies = self.docs, self.replies.where("block >= 0").select("block", "ord", "bucket", "total", "part")
         if em:
-            docs, replies = docs.where("kind = 1"), replies.where("block % 2 = 1")
+            docs, replies = docs.where("kind = 1"), replies.where("part is not null")
         return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
     def scores(self) -> DataFrame:
