@@ -105,8 +105,10 @@ class Vocabulary:
         at, r = at[r >= 0], r[r >= 0]
         order = np.argsort(r, kind="stable")
         at, r = at[order], r[order]
-        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
-        index: dict[int, list[np.ndarray]] = {int(r[i]): [at[i:j]] for i, j in zip(cut, np.append(cut[1:], len(r)), strict=True)}
+        index: dict[int, list[np.ndarray]] = {}
+        if len(r):
+            cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            index = {int(r[i]): [at[i:j]] for i, j in zip(cut, np.append(cut[1:], len(r)), strict=True)}
         active = list(index)
         heapq.heapify(active)
 

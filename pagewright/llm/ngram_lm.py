@@ -246,6 +246,8 @@ class Model:
         kind = F.when(fold == HELD_OUT, 0).when(fold == SLICE, 1).otherwise(2)
         # blocks of about BLOCK_BYTES: shares of a partition; the slice's documents are blocks of their own
         size, partitions = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), max(1, docs.rdd.getNumPartitions())
+        if size >= 1 << 50:  # no table: Spark knows no size
+            size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
         shares = max(1, -(-size // partitions // BLOCK_BYTES))
         share = F.when(kind == 1, shares).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shares)))
         block = F.spark_partition_id().cast("long") * (shares + 1) + share

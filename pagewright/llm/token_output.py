@@ -44,7 +44,7 @@ def library_encoder(path: str) -> Encoder:
         count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter((i for ids in found for i in ids), dtype=np.int64, count=int(count.sum())), count
 
-    return Encoder(Vocabulary(path), encode_words=words)
+    return Encoder(Vocabulary(path), remember=800_000, encode_words=words)
 
 
 def _with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ def _write(path: str, folder: str, encoding: str, group_ids: int, end_id: int):
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}.parquet"
         enc = library_encoder(path)
-        options = {"use_dictionary": ["ids"]} if encoding == "dictionary" else {"use_dictionary": False, "column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED"}}
+        options = {"use_dictionary": ["ids.list.element"]} if encoding == "dictionary" else {"use_dictionary": False, "column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED"}}
         docs, total, held, size = 0, 0, [], 0
         with Whole(name) as out, pq.ParquetWriter(out, SCHEMA, compression="zstd", write_page_index=True, data_page_size=1 << 18, dictionary_pagesize_limit=1 << 20, **options) as writer:
 
@@ -101,7 +101,10 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     Filters on doc_id and the choice of columns reach the files. The manifest is a row for each file.
     """
-    folder = manifest.select(F.regexp_replace("path", "/[^/]*$", "")).first()[0]
+    first = manifest.first()
+    if first is None:
+        return spark.createDataFrame([], "part int, doc_id long, start long, n_tokens long, ids array<int>")
+    folder = first["path"].rpartition("/")[0]
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offset = manifest.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
