@@ -102,9 +102,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}_]+"), lambda w: w != "")
 
 
+def tokens(folded: Column) -> Column:
+    """Tokens of a folded text, cut at whatever is no letter or number."""
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
+
+
 def index_tokens(text: Column) -> Column:
-    """Tokens of an index column: folded, cut at whatever is no letter or number."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
+    """Tokens of a text as the index has them."""
+    return tokens(fold(text))
 
 
 def trigrams(text: Column) -> Column:

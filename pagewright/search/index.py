@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.workspace import Workspace
 
 #: Columns of the index and what a word in them weighs.
 WEIGHTS = {"search_text": 1.0, "heading": 2.0, "fuzzy": 0.1}
@@ -31,6 +32,12 @@ class Index:
     def load(cls, spark, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "totals")))
 
+    def kept(self, ws: Workspace, name: str = "index") -> Index:
+        """The index as tables of a workspace: built once, whatever is asked of it."""
+        rows = self.postings.repartition("term").sortWithinPartitions("term")
+        lengths = ws.save(self.lengths, f"{name}-lengths")
+        return Index(ws.save(rows, f"{name}-postings"), lengths, ws.save(lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")), f"{name}-totals"))
+
     def populated(self) -> bool:
         return not self.postings.isEmpty()
 
@@ -38,20 +45,21 @@ class Index:
 def build(chunks: DataFrame, stem_headings: bool = False) -> Index:
     """The index of ``chunks(chunk_id, heading, search_text)``.
 
-    Headings are folded but keep their endings, as they stand in the index by default; ``stem_headings`` cuts them too.
+    ``search_text`` is what :func:`pagewright.functions.text.index_text` makes of a passage. Headings are folded but keep their endings, as they stand in the index by default; ``stem_headings`` cuts them too.
     """
     heading = F.coalesce("heading", F.lit(""))
     heading = T.stem(T.fold(heading)) if stem_headings else heading
-    columns = F.array(
-        F.struct(F.lit("search_text").alias("col"), T.index_tokens(F.coalesce("search_text", F.lit(""))).alias("tokens")),
-        F.struct(F.lit("heading").alias("col"), T.index_tokens(heading).alias("tokens")),
-        F.struct(F.lit("fuzzy").alias("col"), T.index_tokens(F.array_join(T.trigrams(F.coalesce("search_text", F.lit(""))), " ")).alias("tokens")),
-    )
-    rows = chunks.select("chunk_id", F.explode(columns).alias("c")).select("chunk_id", "c.col", "c.tokens")
-    lengths = rows.groupBy("chunk_id").agg(F.sum(F.size("tokens")).alias("len"))
-    tokens = rows.select("chunk_id", "col", F.posexplode("tokens").alias("position", "term"))
-    postings = tokens.groupBy("col", "term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.when(F.col("col") != "fuzzy", F.col("position")))).alias("positions"))
-    return Index(postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")))
+    text = F.coalesce("search_text", F.lit(""))
+    grams = F.when(F.contains(text, F.lit("_")), T.tokens(F.array_join(T.trigrams(text), " "))).otherwise(T.trigrams(text))
+    rows = chunks.select("chunk_id", T.tokens(text).alias("t"), T.index_tokens(heading).alias("h"), grams.alias("g"))
+    keys = ["col", "term", "chunk_id"]
+    column = lambda name, c: rows.select("chunk_id", F.lit(name).alias("col"), F.posexplode(c).alias("position", "term"))
+    words = column("search_text", "t").unionByName(column("heading", "h"))
+    words = words.groupBy(*keys).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    grams = rows.select("chunk_id", F.lit("fuzzy").alias("col"), F.explode("g").alias("term")).groupBy(*keys).agg(F.count("*").alias("tf"))
+    grams = grams.withColumn("positions", F.array().cast("array<int>"))
+    lengths = rows.select("chunk_id", (F.size("t") + F.size("h") + F.size("g")).cast("long").alias("len"))
+    return Index(words.unionByName(grams), lengths, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")))
 
 
 def refresh(index: Index, chunks: DataFrame, touched: DataFrame) -> Index:
