@@ -31,20 +31,8 @@ TREE_SIZE = 1024
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = 42) -> int:
     """SimHash of the words' shingles; zero without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype="<u8")
-    # bytes.split() and lower() treat exactly the six ASCII spaces and A-Z
-    ones = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, len(h), 65536):
-        part = h[start : start + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    h = shingle_hashes(text, width, seed)
+    return _bits_of(h) if len(h) else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,3 +216,174 @@ def keep_one(ws: Workspace, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(ws, docs, radius)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+# ---------------------------------------------------------------------------------------------- similar texts
+
+#: For texts that are similar in content rather than in a few bits: five-word shingles, and at least this share of them
+#: in common. Fingerprints of such texts differ in up to about 18 bits, which no block of bits survives, so shards are
+#: the documents that share one of their smallest shingle hashes.
+TEXT_SHINGLE, SIMILARITY, WIDE_RADIUS, KEYS = 5, 0.8, 20, 6
+#: Bins of the sketch that orders candidates before texts are compared, and how far below the bar it may estimate.
+BINS, DOUBT = 64, 0.2
+#: A larger shard is dealt in parts; every two parts meet in one group.
+PART = 512
+
+
+def shingle_hashes(text: bytes, width: int = TEXT_SHINGLE, seed: int = 42) -> np.ndarray:
+    """Hashes of the words' shingles, repeats included; of fewer words the one of them all; none without words."""
+    words = text.lower().split()  # of bytes: exactly the six ASCII spaces and A-Z
+    if len(words) <= width:
+        shingles = [b" ".join(words)] if words else []
+    else:
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype="<u8")
+
+
+def _bits_of(h: np.ndarray) -> int:
+    ones = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(h), 65536):
+        ones += np.unpackbits(h[start : start + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def _sketch(distinct: np.ndarray) -> np.ndarray:
+    """The smallest hash of each of BINS equal ranges, its upper bits; zero where there is none. ``distinct`` ascends."""
+    out = np.zeros(BINS, dtype="<u4")
+    bins, first = np.unique(distinct >> np.uint64(BITS - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = ((distinct[first] >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype("<u4") | 1
+    return out
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, keys, sketches = [], [], []
+        for t in batch.column(1):
+            h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"")
+            distinct = np.unique(h)
+            fps.append(_bits_of(h))
+            keys.append(distinct[:KEYS].view("<i8").tolist())
+            sketches.append(_sketch(distinct).tobytes())
+        fp = np.array(fps, dtype="<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "fp", "keys", "sketch"])
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard likeness of the sketches' rows."""
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+
+
+def spanning_pairs(n: int, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> list[int]:
+    """Indexes of pairs that connect all that the pairs connect, the likeliest first."""
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    chosen, order = [], np.argsort(-likeness, kind="stable")
+    levels = np.flatnonzero(np.append(True, np.diff(likeness[order]) != 0))
+    for lo, hi in zip(levels, np.append(levels[1:], len(order)), strict=True):
+        own = order[lo:hi]
+        while True:  # parents of parents, until each points to its root
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent[:] = up
+        x, y = parent[a[own]], parent[b[own]]
+        open_ = x != y
+        if open_.any():
+            _, first = np.unique(np.minimum(x, y)[open_] * n + np.maximum(x, y)[open_], return_index=True)
+            for k in own[open_][first].tolist():
+                i, j = root(a[k]), root(b[k])
+                if i != j:
+                    parent[max(i, j)] = min(i, j)
+                    chosen.append(k)
+    return chosen
+
+
+def _similar(radius: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            ends = batch.column(0).offsets.to_numpy()
+            ends = ends - ends[0]
+            node, fp, part = (batch.column(i).flatten().to_numpy() for i in (0, 1, 3))
+            packed = batch.column(2).flatten()
+            one, two = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            for g, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                bits = fp[lo:hi].view("<u8")
+                x, y = np.flatnonzero(part[lo:hi] == one[g]), np.flatnonzero(part[lo:hi] == two[g])
+                if not len(x) or not len(y):
+                    continue
+                q, n = BKTree(bits[x]).within(bits[y], radius)
+                a, b = x[n], y[q]
+                if one[g] == two[g]:
+                    a, b = a[a < b], b[a < b]
+                if not len(a):
+                    continue
+                sketches = np.stack([np.frombuffer(packed[i].as_buffer(), "<u4") for i in range(lo, hi)])
+                near = np.concatenate([_likeness(sketches[a[k : k + 65536]], sketches[b[k : k + 65536]]) for k in range(0, len(a), 65536)])
+                ok = near >= least
+                a, b = a[ok], b[ok]
+                keep = spanning_pairs(hi - lo, a, b, near[ok])
+                left.append(node[lo:hi][a[keep]]), right.append(node[lo:hi][b[keep]])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return run
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes())).view("<i8").tolist() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, part: int = PART) -> DataFrame:
+    """(node, component_id): for each distinct text, by its xxhash64, the smallest doc_id of its group.
+
+    Equal texts are one. Different texts link when at least ``similarity`` of their distinct five-word shingles are
+    common to both. Shards hold the texts that share one of their KEYS smallest shingle hashes; in a shard a BK-tree
+    finds the fingerprints within the radius; sketches choose, among the pairs found, a tree that connects them, the
+    likeliest first; the texts of its pairs are compared in full. Null texts are empty; texts without words link with
+    nothing but their equals. Null doc_ids name no group.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    classes = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts")
+    told = rows.select("node", F.col("text").cast("binary")).mapInArrow(_describe, "node long, fp long, keys array<long>, sketch binary")
+    told = ws.save(told, "described")
+    # copies of a text are described alike: a copy is any of its rows, and equal entries are one
+    keyed = told.select("node", "fp", "sketch", F.explode("keys").alias("key"))
+    sizes = keyed.select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = ws.save(sizes.select(F.col("key").alias("k"), F.ceil(F.col("n") / part).alias("parts")), "key-sizes")
+    entries = keyed.join(sizes, F.col("key") == F.col("k")).dropDuplicates(["key", "node"])
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    entries = entries.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "fp", "sketch", "part")]
+    groups = entries.groupBy("key", "one", "two").agg(*lists).where(F.size("nodes") > 1).select("nodes", "fps", "sketchs", "parts", "one", "two")
+    pairs = ws.save(groups.mapInArrow(_similar(radius, similarity - DOUBT), "a long, b long").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    full = rows.join(ends, F.col("node") == F.col("end")).select("node", "text").dropDuplicates(["node"])
+    full = ws.save(full.select("node", F.col("text").cast("binary")).mapInArrow(_shingle_sets, "node long, shingles array<long>"), "shingles")
+    both = pairs.join(full.select(F.col("node").alias("na"), F.col("shingles").alias("x")), F.col("a") == F.col("na"))
+    both = both.join(full.select(F.col("node").alias("nb"), F.col("shingles").alias("y")), F.col("b") == F.col("nb"))
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
+    roots = connected_components(ws, links, "similar")
+    of = classes.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    names = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return ws.save(of.join(names, "root").select("node", "component_id"), "similar-groups")
+
+
+def keep_one_similar(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of similar texts is kept: the one with the smallest doc_id.
+
+    Rows with a null doc_id stay, as do rows that repeat a kept doc_id with the same text.
+    """
+    groups = similar_groups(ws, docs, similarity).select(F.col("node").alias("__node"), "component_id").withColumnRenamed("component_id", "__first")
+    rows = docs.withColumn("__n", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    kept = rows.join(groups, F.col("__n") == F.col("__node")).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("__first")))
+    return kept.select(*docs.columns)

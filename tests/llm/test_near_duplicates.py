@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagewright.llm import pivot_index, simhash_bk
 from pagewright.workspace import Workspace
@@ -88,6 +89,39 @@ def test_keep_one_keeps_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]
 
 
+@pytest.mark.parametrize("part", [512, 4])
+def test_similar_texts_match_brute_force(spark, part):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = rng.choice(vocabulary, 150).tolist()
+        for k in range(10):
+            text = list(base)
+            for at in rng.integers(0, 150, (0, 1, 2, 4, 8)[k % 5]):
+                text[at] = str(rng.choice(vocabulary))
+            rows.append((len(rows) * 3, " ".join(text), "x", "y", g))
+    rows += [(1, "short text", "x", "y", 1), (2, "short  text", "x", "y", 1), (4, None, "x", "y", 1), (5, "", "x", "y", 1), (None, rows[0][1], "x", "y", 1), (0, rows[0][1], "x", "y", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = simhash_bk.keep_one_similar(Workspace(spark, "test"), docs, 0.8) if part == 512 else None
+    groups = simhash_bk.similar_groups(Workspace(spark, "test"), docs, part=part)
+    named = {r.text or "": r.component_id for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS n").join(groups, F.expr("n = node")).collect()}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = {t or "": shingles(t) for _, t, *_ in rows}
+    ids = {t: min(i for i, u, *_ in rows if (u or "") == t and i is not None) for t in sets}
+    linked = [(ids[t], ids[u]) for t in sets for u in sets if t < u and sets[t] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u])]
+    comp = components(set(ids.values()), linked)
+    assert {t: comp[i] for t, i in ids.items()} == named and len(linked) > 100
+    if kept is not None:
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i, t, *_ in rows if i is not None and comp[ids[t or ""]] == i)
+        assert kept.where("doc_id is null").count() == 1
+
+
 # ---------------------------------------------------------------------------------------------- vectors
 
 
