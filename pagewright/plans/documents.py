@@ -364,7 +364,7 @@ def status(documents: DataFrame, pages: DataFrame, chunks: DataFrame, jobs: Data
     state = F.col("verification_state")
     per_page = pages.groupBy("document_id").agg(
         F.count("*").alias("pages_stored"), F.sum("math_count").alias("equations"), F.sum("table_count").alias("tables"), F.sum("char_count").alias("chars"),
-        F.bround(F.avg("quality_score"), 3).alias("mean_quality"), F.count_if(F.col("quality_tier") == "high").alias("high_quality_pages"),
+        F.round(F.avg("quality_score"), 3).alias("mean_quality"), F.count_if(F.col("quality_tier") == "high").alias("high_quality_pages"),
         _pages_where(F.col("needs_ocr")).alias("needs_ocr"), _pages_where(F.col("source_scanned")).alias("source_scanned"), _pages_where(F.col("ocr_used")).alias("ocr_used"),
         _pages_where(F.col("math_count") > 0).alias("math_pages"), _pages_where(F.col("quality_state").isin("warning", "bad")).alias("low_quality_pages"),
         _pages_where(state.isin("pending", "needs_correction", "unreadable")).alias("unverified_pages"), _pages_where(state == "approved").alias("approved_pages"),

@@ -20,7 +20,7 @@ from pagewright.operators import repair, structure
 from pagewright.plans import documents as D
 from pagewright.search import index as I
 from pagewright.search import query as S
-from pagewright.sources import engines, files
+from pagewright.sources import engines, files, vision
 from pagewright.streaming import jobs as J
 
 SCHEMA_VERSION, INDEX_VERSION = 1, 1
@@ -275,6 +275,28 @@ class Library:
             self.reindex(touched)
         return audit
 
+    def read_again(self, engine: vision.CorrectionEngine, pages: DataFrame | None = None, apply: bool = True) -> DataFrame:
+        """Let an engine read pages again and judge what it proposes; doubtful pages are read once more, closer."""
+        stored = self.tables.read("pages")
+        wanted = vision.targets(stored, pages)
+        now = F.lit(int(time.time())).cast("long")
+        first = D.judge_corrections(stored, vision.propose(wanted, engine).withColumn("at", now), apply)
+        if self.config.vision.crop_retry and engine.available():
+            doubtful = wanted.join(first.where(F.size("warnings") > 0).select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
+            first = vision.better_of(first, D.judge_corrections(stored, vision.propose(doubtful, engine, True).withColumn("at", now), apply))
+        self.tables.append("corrections", first)
+        audit = self.tables.read("corrections").where(F.col("created_at") == now)
+        after = D.apply_corrections(stored, audit)
+        if not engine.available():
+            mark = F.when(F.col("__w").isNotNull(), "pending").otherwise(F.col("verification_state"))
+            after = after.join(wanted.select("document_id", "page_number", F.lit(True).alias("__w")), ["document_id", "page_number"], "left").withColumn("verification_state", mark).drop("__w")
+        touched = D.changed_pages(stored, after).cache()
+        touched.count()
+        self.tables.write("pages", after)
+        if not touched.isEmpty():
+            self.reindex(touched)
+        return audit
+
     def repair_document(self, ref: str | None = None) -> DataFrame:
         """Repair stored texts again; returns (document_id, page_number, repairs) of the changed pages."""
         pages = self.tables.read("pages")

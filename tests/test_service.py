@@ -92,6 +92,32 @@ def test_review_correction_upgrade_repair(spark, library, folder):
     assert status.corrections_applied == 1 and status.approved_pages == [2] and status.chunks > 0
 
 
+class Reader:
+    name = "reader"
+
+    def __init__(self, up=True):
+        self.up = up
+
+    def available(self):
+        return self.up
+
+    def correct(self, document_id, page_number, markdown, closer=False):
+        if page_number == 1:
+            raise ValueError("no image")
+        return json.dumps({"markdown": markdown + (" Seen closely." if closer else ""), "confidence": 0.9, "warnings": [] if closer else ["blurred"]})
+
+
+def test_pages_are_read_again(spark, library):
+    one = ref(library, "copy.md")
+    pages = spark.createDataFrame([(one, 1), (one, 2)], "document_id string, page_number int")
+    audit = {r.page_number: r for r in library.read_again(Reader(), pages).collect()}
+    assert audit[2].applied and audit[2].warnings == [] and not audit[1].applied and "ValueError: no image" in audit[1].warnings
+    assert library.search("seen closely").first().document_id == one
+    gone = library.read_again(Reader(False), pages.where("page_number = 2")).collect()
+    assert [r.warnings for r in gone if r.page_number == 2 and not r.applied and r.confidence == 0]
+    assert library.tables.read("pages").where(f"document_id = '{one}' AND page_number = 2").first().verification_state == "pending"
+
+
 def test_command_line(spark, library, capsys):
     root = library.tables.root.removesuffix("/tables")
     for argv, code in ((["list"], 0), (["search", "group"], 0), (["search", "qqqqqq"], 1), (["status", "two"], 0), (["page", "two", "1"], 0), (["page", "two", "9"], 1), (["report", "two"], 0), (["section", "two", "groups"], 0), (["review-queue"], 0), (["blocks", "two", "1"], 1), (["image", "two", "1"], 0), (["reindex", "--all"], 0), (["repair", "two"], 0), (["doctor"], 0), (["config"], 0), (["status", "none"], 1), (["review-mark", "two", "1", "nonsense"], 1)):
