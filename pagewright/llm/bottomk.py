@@ -123,13 +123,15 @@ def edited_likeness(ws: Workspace, docs: DataFrame, k: int = K) -> DataFrame:
     near = neighbours(ws, docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    linked = rows.join(near.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left")
-    linked = linked.select("doc_id", "text", "previous_id", F.floor(F.col("previous_chars") / 4).cast("int").alias("lent"))
-    own = linked.select("doc_id", "text")
-    begin = F.substring(F.col("text"), F.lit(1), F.col("lent"))
-    lent = linked.where("previous_id is not null").select(F.col("previous_id").alias("to"), F.struct(begin.alias("begin"), sketch(F.col("text"), k).alias("next_sketch")).alias("lent"))
-    lent = lent.groupBy("to").agg(F.min("lent").alias("lent"))
-    rows = own.join(lent, F.col("doc_id") == F.col("to"), "left")
+    # all joins deal by the same two columns without nulls: the texts are shuffled once, what is lent once
+    keys = lambda c, k: (F.coalesce(F.col(c), F.lit(0)).alias(f"k{k}"), F.col(c).isNull().alias(f"z{k}"))
+    same = lambda a, b: (F.col(f"k{a}") == F.col(f"k{b}")) & (F.col(f"z{a}") == F.col(f"z{b}"))
+    rows = rows.select("text", *keys("doc_id", 1))
+    linked = rows.join(near.select("previous_id", "previous_chars", *keys("doc_id", 2)), same(1, 2))
+    begin = F.substring(F.col("text"), F.lit(1), F.floor(F.col("previous_chars") / 4).cast("int"))
+    lent = linked.select(*keys("previous_id", 3), F.struct(begin.alias("begin"), sketch(F.col("text"), k).alias("next_sketch")).alias("lent"))
+    lent = lent.groupBy("k3", "z3").agg(F.min("lent").alias("lent"))
+    rows = rows.join(lent, same(1, 3), "left").withColumn("doc_id", F.when(~F.col("z1"), F.col("k1")))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.coalesce(F.substring(F.col("lent.begin"), F.lit(1), cut), F.lit("")))
