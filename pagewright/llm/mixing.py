@@ -101,7 +101,9 @@ class Mix:
     def slots(self) -> DataFrame:
         """(s, q, pass, block, shard, position): every slot of the mix, and the block that it takes."""
         chunks = self.sources.where("slots > 0").withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))))
-        chunks = chunks.repartition(F.col("s"), F.col("lo"))
+        # few small rows that become many: dealt out by number, or they would be put together by their size
+        total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+        chunks = chunks.repartition(max(1, -(-total // (4 * CHUNK))), F.col("s"), F.col("lo"))
         q = F.explode(F.sequence(F.col("lo"), F.least(F.col("slots"), F.col("lo") + CHUNK) - 1))
         rows = chunks.select("s", "n_blocks", "first_slot", "all_slots", q.alias("q"))
         rows = rows.withColumn("pass", F.floor(F.col("q") / F.col("n_blocks")))
@@ -124,14 +126,14 @@ class Mix:
 
     def spans(self) -> DataFrame:
         """(shard, position, s, doc_id, source, copy, first, n): the mix; each slot's words as spans of documents."""
-        return self.slots().join(self.blocks(), ["s", "block"]).select("shard", "position", "s", "pass", "doc_id", "source", "h", "copy", "first", "n")
+        return self.slots().hint("merge").join(self.blocks(), ["s", "block"]).select("shard", "position", "s", "pass", "doc_id", "source", "h", "copy", "first", "n")
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) for each document; taken counts words as often as they are taken."""
-        takes = self.slots().groupBy("s", "block").agg(F.count("*").alias("takes"))
+        takes = self.slots().groupBy("s", "block").agg(F.count("*").alias("takes")).hint("merge")  # many more than Spark expects
         key = ["doc_id", "s", "h", "copy", "pid"]
         words = self.blocks().join(takes, ["s", "block"]).groupBy(*key).agg(F.sum(F.col("takes") * F.col("n")).alias("taken"))
-        words = words.select(*(F.col(k).alias(f"k_{k}") for k in key), "taken")
+        words = words.select(*(F.col(k).alias(f"k_{k}") for k in key), "taken").hint("merge")
         same = (F.col("doc_id").eqNullSafe(F.col("k_doc_id"))) & (F.col("s") == F.col("k_s")) & (F.col("h") == F.col("k_h")) & (F.col("copy") == F.col("k_copy")) & (F.col("pid") == F.col("k_pid"))
         return self.docs.join(words, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -141,10 +143,10 @@ class Mix:
         A pass that takes all words gives the text as it is, another the words taken, in order, joined by one space.
         """
         parts = self.slots().join(self.sources.select(F.col("s").alias("t"), "passes"), F.col("s") == F.col("t"))
-        parts = parts.where(F.col("pass") >= F.col("passes")).select("s", "block")
+        parts = parts.where(F.col("pass") >= F.col("passes")).select("s", "block").hint("merge")
         key = ["doc_id", "s", "h", "copy", "pid"]
         partial = self.blocks().join(parts, ["s", "block"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"), F.sum("n").alias("m"))
-        partial = partial.select(*(F.col(k).alias(f"k_{k}") for k in key), "spans", "m")
+        partial = partial.select(*(F.col(k).alias(f"k_{k}") for k in key), "spans", "m").hint("merge")
         same = (F.col("doc_id").eqNullSafe(F.col("k_doc_id"))) & (F.col("s") == F.col("k_s")) & (F.col("h") == F.col("k_h")) & (F.col("copy") == F.col("k_copy")) & (F.col("pid") == F.col("k_pid"))
         plan = self.docs.join(partial, same, "left").join(self.sources.select(F.col("s").alias("t"), "passes"), F.col("s") == F.col("t"))
         whole = F.col("passes") + F.when(F.col("m") == F.col("size"), 1).otherwise(0)
@@ -153,12 +155,14 @@ class Mix:
         rows = docs.withColumn("__h", F.xxhash64("text"))
         rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__h", "source").orderBy(F.lit(1))))
         same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.col("__h") == F.col("k_h")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("__copy") == F.col("k_copy"))
-        rows = rows.join(plan, same)
+        rows = rows.join(plan.hint("merge"), same)
         words = F.filter(F.split(F.col("text"), WORD_GAP), lambda w: w != "")
-        cut = F.array_join(F.flatten(F.transform(F.col("spans"), lambda x: F.slice(F.col("__words"), (x["first"] + 1).cast("int"), x["n"].cast("int")))), " ")
+        # a one-element transform splits the text once for all its spans
+        taken = lambda w: F.array_join(F.flatten(F.transform(F.col("spans"), lambda x: F.slice(w, (x["first"] + 1).cast("int"), x["n"].cast("int")))), " ")
+        cut = F.get(F.transform(F.array(words), taken), F.lit(0))
         copies = F.when(F.col("whole") > 0, F.sequence(F.lit(1).cast("long"), F.col("whole"))).otherwise(F.array().cast("array<bigint>"))
         each = F.concat(copies, F.when(F.col("spans").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-        rows = rows.withColumn("__pass", F.explode(each)).withColumn("__words", F.when(F.col("__pass") == 0, words))
+        rows = rows.withColumn("__pass", F.explode(each))
         text = F.when(F.col("__pass") == 0, cut).otherwise(F.col("text"))
         out = rows.withColumn("__text", text)
         return out.select(*(F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in cols))
