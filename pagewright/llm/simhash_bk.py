@@ -228,6 +228,8 @@ TEXT_SHINGLE, SIMILARITY, WIDE_RADIUS, KEYS = 5, 0.8, 20, 6
 BINS, DOUBT = 64, 0.2
 #: A larger shard is dealt in parts; every two parts meet in one group.
 PART = 512
+#: The same where whole texts meet: a part's shingles, and the shingles that a text counts for besides its own.
+PART_SHINGLES, OVERHEAD = 1 << 20, 256
 
 
 def shingle_hashes(text: bytes, width: int = TEXT_SHINGLE, seed: int = 42) -> np.ndarray:
@@ -342,14 +344,82 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, part: int = PART) -> DataFrame:
+def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, meets, similarity: float) -> tuple[list[int], list[int]]:
+    """Pairs of similar sets that connect what isn't connected yet, found by comparing all sets of different labels.
+
+    ``meets(i, others)`` tells with which of the others set i is compared at all. No set is empty.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    at = np.append(0, np.cumsum(size))
+    words, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    label, held = np.unique(label[order], return_inverse=True)[1], np.zeros(len(words), dtype=np.int32)
+    a, b = [], []
+    for i in range(len(order) - 1):
+        # the others are as large or larger: their likeness is at most the quotient of the sizes
+        end = i + 1 + np.count_nonzero(size[i] / size[i + 1 :] >= similarity)
+        others = np.arange(i + 1, end)[label[i + 1 : end] != label[i]]
+        others = others[meets(order[i], order[others])]
+        if not len(others):
+            continue
+        held[ids[at[i] : at[i + 1]]] = 1
+        theirs = np.concatenate([ids[at[j] : at[j + 1]] for j in others])
+        shared = np.add.reduceat(held[theirs], np.append(0, np.cumsum(size[others])[:-1]))
+        held[ids[at[i] : at[i + 1]]] = 0
+        for j in others[shared / (size[i] + size[others] - shared) >= similarity]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(int(order[i])), b.append(int(order[j]))
+    return a, b
+
+
+def _similar_in_full(radius: int, similarity: float):
+    def told(group: list) -> pa.RecordBatch:
+        node, fp, root, part = (np.array([r[c] for r in group]) for c in range(4))
+        fp = fp.view("<u8")
+
+        def meets(i: int, others: np.ndarray) -> np.ndarray:
+            near = np.bitwise_count(fp[i] ^ fp[others]) <= radius
+            return near & (part[i] != part[others]) if (part != part[0]).any() else near
+
+        a, b = unlinked_pairs([r[4] for r in group], root, meets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []  # a group's rows follow each other, over batches too
+        for batch in batches:
+            key, one, two, node, fp, root, part = (batch.column(c).to_numpy() for c in range(7))
+            lists = batch.column(7)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k in range(batch.num_rows):
+                name = (key[k], one[k], two[k])
+                if name != last:
+                    if len(group) > 1:
+                        yield told(group)
+                    last, group = name, []
+                group.append((node[k], fp[k], root[k], part[k], flat[ends[k] : ends[k + 1]].copy()))
+        if len(group) > 1:
+            yield told(group)
+
+    return run
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Rows of (node, parts) dealt to groups: (part, one, two) tell the row's part, and the parts of a group."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+
+
+def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, part: int = PART, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """(node, component_id): for each distinct text, by its xxhash64, the smallest doc_id of its group.
 
     Equal texts are one. Different texts link when at least ``similarity`` of their distinct five-word shingles are
     common to both. Shards hold the texts that share one of their KEYS smallest shingle hashes; in a shard a BK-tree
     finds the fingerprints within the radius; sketches choose, among the pairs found, a tree that connects them, the
-    likeliest first; the texts of its pairs are compared in full. Null texts are empty; texts without words link with
-    nothing but their equals. Null doc_ids name no group.
+    likeliest first; the texts of its pairs are compared in full. That links most texts soon, but a pair of the tree may
+    fail: after it, all pairs within the radius whose texts these links don't connect are compared in full, in every
+    shard that holds such texts. Null texts are empty; texts without words link with nothing but their equals. Null
+    doc_ids name no group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     classes = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts")
@@ -359,20 +429,28 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     keyed = told.select("node", "fp", "sketch", F.explode("keys").alias("key"))
     sizes = keyed.select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = ws.save(sizes.select(F.col("key").alias("k"), F.ceil(F.col("n") / part).alias("parts")), "key-sizes")
-    entries = keyed.join(sizes, F.col("key") == F.col("k")).dropDuplicates(["key", "node"])
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    entries = entries.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+    members = ws.save(keyed.join(sizes, F.col("key") == F.col("k")).dropDuplicates(["key", "node"]).select("key", "node", "fp", "sketch", "parts"), "members")
+    entries = _in_parts(members)
     lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "fp", "sketch", "part")]
     groups = entries.groupBy("key", "one", "two").agg(*lists).where(F.size("nodes") > 1).select("nodes", "fps", "sketchs", "parts", "one", "two")
     pairs = ws.save(groups.mapInArrow(_similar(radius, similarity - DOUBT), "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    ends = members.select(F.col("node").alias("end")).distinct()
     full = rows.join(ends, F.col("node") == F.col("end")).select("node", "text").dropDuplicates(["node"])
     full = ws.save(full.select("node", F.col("text").cast("binary")).mapInArrow(_shingle_sets, "node long, shingles array<long>"), "shingles")
     both = pairs.join(full.select(F.col("node").alias("na"), F.col("shingles").alias("x")), F.col("a") == F.col("na"))
     both = both.join(full.select(F.col("node").alias("nb"), F.col("shingles").alias("y")), F.col("b") == F.col("nb"))
     shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
-    roots = connected_components(ws, links, "similar")
+    links = ws.save(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "links")
+    roots = connected_components(ws, links, "linked").select(F.col("node").alias("r"), "root")
+    held = members.select("key", "node", "fp").join(roots, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node"))
+    held = ws.save(held.join(full.select(F.col("node").alias("n"), F.size("shingles").alias("size")), F.col("node") == F.col("n")).select("key", "node", "fp", "root", "size"), "held")
+    weight = F.sum(F.col("size").cast("long") + OVERHEAD)
+    apart = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(weight / part_shingles).alias("parts")).where("low <> high")
+    rest = _in_parts(held.join(apart.select(F.col("key").alias("k"), "parts"), F.col("key") == F.col("k")))
+    rest = rest.select("key", "one", "two", "node", "fp", "root", "part").join(full.select(F.col("node").alias("n"), "shingles"), F.col("node") == F.col("n")).drop("n")
+    rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    more = ws.save(rest.mapInArrow(_similar_in_full(radius, similarity), "a long, b long"), "more-links")
+    roots = connected_components(ws, links.union(more), "similar")
     of = classes.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return ws.save(of.join(names, "root").select("node", "component_id"), "similar-groups")

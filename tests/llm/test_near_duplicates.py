@@ -122,6 +122,23 @@ def test_similar_texts_match_brute_force(spark, part):
         assert kept.where("doc_id is null").count() == 1
 
 
+def test_copies_that_link_by_their_original_only(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 400)]
+    texts = [base]
+    for k in range(600):  # each at 0.8 or more to the original, two of them far below
+        copy = list(base)
+        for n, at in enumerate(rng.choice(400, 8, replace=False)):
+            copy[at] = f"c{k}x{n}"
+        texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(396)} for t in texts]
+    assert all(len(x & sets[0]) >= 0.8 * len(x | sets[0]) for x in sets)
+    docs = spark.createDataFrame([(i, " ".join(t), "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+    for shingles in (simhash_bk.PART_SHINGLES, 50_000):
+        groups = simhash_bk.similar_groups(Workspace(spark, "test"), docs, part_shingles=shingles).collect()
+        assert len(groups) == 601 and {r.component_id for r in groups} == {0}
+
+
 # ---------------------------------------------------------------------------------------------- vectors
 
 
