@@ -221,15 +221,15 @@ def keep_one(ws: Workspace, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- similar texts
 
 #: For texts that are similar in content rather than in a few bits: five-word shingles, and at least this share of them
-#: in common. Fingerprints of such texts differ in up to about 18 bits, which no block of bits survives, so shards are
-#: the documents that share one of their smallest shingle hashes.
+#: in common. Fingerprints of such texts mostly differ in up to about 18 bits, of short texts in more; no block of bits
+#: survives that, so shards are the documents that share one of their smallest shingle hashes.
 TEXT_SHINGLE, SIMILARITY, WIDE_RADIUS, KEYS = 5, 0.8, 20, 6
 #: Bins of the sketch that orders candidates before texts are compared, and how far below the bar it may estimate.
 BINS, DOUBT = 64, 0.2
 #: A larger shard is dealt in parts; every two parts meet in one group.
 PART = 512
 #: The same where whole texts meet: a part's shingles, and the shingles that a text counts for besides its own.
-PART_SHINGLES, OVERHEAD = 1 << 20, 256
+PART_SHINGLES, OVERHEAD = 1 << 18, 256
 
 
 def shingle_hashes(text: bytes, width: int = TEXT_SHINGLE, seed: int = 42) -> np.ndarray:
@@ -261,9 +261,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps, keys, sketches = [], [], []
         for t in batch.column(1):
-            h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"")
-            distinct = np.unique(h)
-            fps.append(_bits_of(h))
+            distinct = np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b""))
+            fps.append(_bits_of(distinct) if len(distinct) else 0)  # a line that repeats outweighs nothing
             keys.append(distinct[:KEYS].view("<i8").tolist())
             sketches.append(_sketch(distinct).tobytes())
         fp = np.array(fps, dtype="<u8").view("<i8")
@@ -339,27 +338,31 @@ def _similar(radius: int, least: float):
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes())).view("<i8").tolist() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):  # what a worker once held it keeps
+            batch = whole.slice(start, 512)
+            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes())).view("<i8") for t in batch.column(1)]
+            ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, meets, similarity: float) -> tuple[list[int], list[int]]:
+def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
     """Pairs of similar sets that connect what isn't connected yet, found by comparing all sets of different labels.
 
-    ``meets(i, others)`` tells with which of the others set i is compared at all. No set is empty.
+    Sets of one part aren't compared. No set is empty.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order])
     at = np.append(0, np.cumsum(size))
     words, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    label, held = np.unique(label[order], return_inverse=True)[1], np.zeros(len(words), dtype=np.int32)
+    ids = ids.astype(np.int32)
+    label, part, held = np.unique(label[order], return_inverse=True)[1], part[order], np.zeros(len(words), dtype=np.int32)
     a, b = [], []
     for i in range(len(order) - 1):
         # the others are as large or larger: their likeness is at most the quotient of the sizes
         end = i + 1 + np.count_nonzero(size[i] / size[i + 1 :] >= similarity)
-        others = np.arange(i + 1, end)[label[i + 1 : end] != label[i]]
-        others = others[meets(order[i], order[others])]
+        others = np.arange(i + 1, end)[(label[i + 1 : end] != label[i]) & (part[i + 1 : end] != part[i])]
         if not len(others):
             continue
         held[ids[at[i] : at[i + 1]]] = 1
@@ -373,23 +376,19 @@ def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, meets, similarity:
     return a, b
 
 
-def _similar_in_full(radius: int, similarity: float):
+def _similar_in_full(similarity: float):
     def told(group: list) -> pa.RecordBatch:
-        node, fp, root, part = (np.array([r[c] for r in group]) for c in range(4))
-        fp = fp.view("<u8")
-
-        def meets(i: int, others: np.ndarray) -> np.ndarray:
-            near = np.bitwise_count(fp[i] ^ fp[others]) <= radius
-            return near & (part[i] != part[others]) if (part != part[0]).any() else near
-
-        a, b = unlinked_pairs([r[4] for r in group], root, meets, similarity)
+        node, root, part = (np.array([r[c] for r in group]) for c in range(3))
+        if (part == part[0]).all():
+            part = np.arange(len(part))
+        a, b = unlinked_pairs([r[3] for r in group], root, part, similarity)
         return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, []  # a group's rows follow each other, over batches too
         for batch in batches:
-            key, one, two, node, fp, root, part = (batch.column(c).to_numpy() for c in range(7))
-            lists = batch.column(7)
+            key, one, two, node, root, part = (batch.column(c).to_numpy() for c in range(6))
+            lists = batch.column(6)
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             for k in range(batch.num_rows):
                 name = (key[k], one[k], two[k])
@@ -397,7 +396,7 @@ def _similar_in_full(radius: int, similarity: float):
                     if len(group) > 1:
                         yield told(group)
                     last, group = name, []
-                group.append((node[k], fp[k], root[k], part[k], flat[ends[k] : ends[k + 1]].copy()))
+                group.append((node[k], root[k], part[k], flat[ends[k] : ends[k + 1]].copy()))
         if len(group) > 1:
             yield told(group)
 
@@ -417,8 +416,8 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     common to both. Shards hold the texts that share one of their KEYS smallest shingle hashes; in a shard a BK-tree
     finds the fingerprints within the radius; sketches choose, among the pairs found, a tree that connects them, the
     likeliest first; the texts of its pairs are compared in full. That links most texts soon, but a pair of the tree may
-    fail: after it, all pairs within the radius whose texts these links don't connect are compared in full, in every
-    shard that holds such texts. Null texts are empty; texts without words link with nothing but their equals. Null
+    fail, and no radius holds all similar texts: after it, all pairs whose texts these links don't connect are compared
+    in full, in every shard that holds such texts. Null texts are empty; texts without words link with nothing but their equals. Null
     doc_ids name no group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
@@ -442,14 +441,14 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     shared = F.size(F.array_intersect("x", "y"))
     links = ws.save(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "links")
     roots = connected_components(ws, links, "linked").select(F.col("node").alias("r"), "root")
-    held = members.select("key", "node", "fp").join(roots, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node"))
-    held = ws.save(held.join(full.select(F.col("node").alias("n"), F.size("shingles").alias("size")), F.col("node") == F.col("n")).select("key", "node", "fp", "root", "size"), "held")
+    held = members.select("key", "node").join(roots, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node"))
+    held = ws.save(held.join(full.select(F.col("node").alias("n"), F.size("shingles").alias("size")), F.col("node") == F.col("n")).select("key", "node", "root", "size"), "held")
     weight = F.sum(F.col("size").cast("long") + OVERHEAD)
     apart = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(weight / part_shingles).alias("parts")).where("low <> high")
     rest = _in_parts(held.join(apart.select(F.col("key").alias("k"), "parts"), F.col("key") == F.col("k")))
-    rest = rest.select("key", "one", "two", "node", "fp", "root", "part").join(full.select(F.col("node").alias("n"), "shingles"), F.col("node") == F.col("n")).drop("n")
+    rest = rest.select("key", "one", "two", "node", "root", "part").join(full.select(F.col("node").alias("n"), "shingles"), F.col("node") == F.col("n")).drop("n")
     rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    more = ws.save(rest.mapInArrow(_similar_in_full(radius, similarity), "a long, b long"), "more-links")
+    more = ws.save(rest.mapInArrow(_similar_in_full(similarity), "a long, b long"), "more-links")
     roots = connected_components(ws, links.union(more), "similar")
     of = classes.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = of.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -139,6 +139,29 @@ def test_copies_that_link_by_their_original_only(spark):
         assert len(groups) == 601 and {r.component_id for r in groups} == {0}
 
 
+def test_similar_texts_with_far_fingerprints(spark):
+    rows, told = [], {}
+
+    def add(*texts):
+        first = len(rows)
+        for t in texts:
+            told[len(rows)] = first
+            rows.append((len(rows), " ".join(t), "x", "y", 1))
+
+    for g in range(20):  # a line that one of two copies repeats
+        base, line = [f"a{g}x{i}" for i in range(300)], [f"b{g}x{i}" for i in range(12)]
+        add(base, *(base + line * n for n in (10, 20, 50, 200)))
+    for g in range(3000):  # 8 words and 9 words, 4 of 5 shingles in common: those whose fingerprints are far apart
+        base = [f"s{g}x{i}" for i in range(9)]
+        one, two = (simhash_bk._bits_of(simhash_bk.shingle_hashes(" ".join(t).encode())) for t in (base[:8], base))
+        if (one ^ two).bit_count() > simhash_bk.WIDE_RADIUS:
+            add(base[:8], base)
+    assert len(rows) > 105
+    groups = simhash_bk.similar_groups(Workspace(spark, "test"), spark.createDataFrame(rows, DOCS))
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "xxhash64(text) AS n")
+    assert {r.doc_id: r.component_id for r in docs.join(groups, F.expr("n = node")).collect()} == told
+
+
 # ---------------------------------------------------------------------------------------------- vectors
 
 
