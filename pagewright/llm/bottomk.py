@@ -92,10 +92,12 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 def neighbours(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(doc_id, next_id, previous_id, previous_chars), a row for each distinct doc_id that isn't null.
 
+    previous_chars is the length of the longest text of previous_id.
+
     next_id follows in ascending order, after the last comes the first. Only ids and lengths are sorted: in ranges, each
     with its own window, and the ends of the ranges are tied together.
     """
-    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
     ids = ws.save(ids.repartitionByRange("doc_id").withColumn("pid", F.spark_partition_id()), "ids")
     ends = ids.groupBy("pid").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max_by("n", "doc_id").alias("last_n"))
     order, everything = Window.orderBy("pid"), Window.partitionBy()

@@ -110,6 +110,15 @@ def test_edited_texts_of_odd_rows(spark):
     assert bottomk.edited_likeness(Workspace(spark, "test"), docs(spark, [(4, "alone by itself", "a")])).first().near_next == 1.0
 
 
+def test_edited_texts_of_unequal_rows_with_one_id(spark):
+    texts = ["short one here", "a much longer text of the same document " * 20, None]
+    after = "the next document lends its beginning " * 30
+    for last in (1, 3):  # as the one before, and as the last whose next is the first
+        found = bottomk.edited_likeness(Workspace(spark, "test"), docs(spark, [(last, t, "a") for t in texts] + [(2, after, "a")])).collect()
+        told = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest() for t in map(lambda x: x or "", texts))
+        assert sorted(r.edited_sha256 for r in found if r.doc_id == last) == told
+
+
 def test_sketches_merge(spark):
     text = " ".join(f"w{i}" for i in range(2000))
     other = " ".join(f"w{i}" for i in range(1000, 3000))
