@@ -187,13 +187,47 @@ def test_mix_of_odd_rows_and_its_texts(spark):
         assert r.n_chars == len(r.text)
     assert {r.doc_id: r.taken for r in found if r.taken} == dict(got)
     slots = mix.slots().collect()
-    assert sorted((r.shard, r.position) for r in slots) == [divmod(k, mixing.SHARD_SLOTS) for k in range(len(slots))]
+    for shard in {r.shard for r in slots}:
+        own = [r for r in slots if r.shard == shard]
+        assert sorted(r.position for r in own) == list(range(len(own)))
+    assert Counter((r.shard, r.s) for r in slots) == {(r.shard, r.s): r.n for r in mix.counts().collect()}
+    assert len({(r.s, r["pass"], r.block) for r in slots}) == len(slots)
     with_null = mixing.Mix(Workspace(spark, "test"), docs(spark, ODD)).taken()
     assert with_null.count() == len(ODD)
     assert mixing.Mix(Workspace(spark, "test"), docs(spark, [])).taken().count() == 0
     assert mixing.Mix(Workspace(spark, "test"), docs(spark, [(1, "", "a"), (2, None, None)])).taken().agg(F.sum("taken")).first()[0] == 0
 
 
+def test_shards_draw_from_a_multinomial(spark):
+    """Counts by shard scatter as independent draws do; what is taken of a source is what the shards have drawn."""
+    rows = [(i, f"a{i} " * 400, "a" if i % 2 else "b") for i in range(1600)]
+    mix = mixing.Mix(Workspace(spark, "test"), docs(spark, rows), shard_slots=500)
+    sources = {r.s: r for r in mix.sources.collect()}
+    total, share = mix.total, sources[0].asked / mix.total
+    drawn = [r.n for r in mix.draws.where("s = 0").collect()]
+    assert len(drawn) == -(-total // 500) and sum(r.n for r in mix.draws.collect()) == total
+    spread = np.var(drawn[:-1]) / (500 * share * (1 - share))
+    assert 0.3 < spread < 2.5
+    assert any(r.drawn != r.asked for r in sources.values())
+    for r in sources.values():
+        assert r.slots == min(max(r.drawn, r.asked - math.floor(r.asked * mixing.TOLERANCE)), r.asked + math.floor(r.asked * mixing.TOLERANCE), 3 * r.n_blocks)
+    by_source = Counter()
+    for r in mix.taken().collect():
+        by_source[r.doc_id % 2] += r.taken
+    assert sorted(by_source.values()) == sorted(r.slots * mixing.BLOCK_WORDS for r in sources.values())
+
+
+def test_repeated_rows_and_clashing_columns_in_the_mix(spark):
+    """Rows that agree in all columns are copies: each is a document; columns may be named like the plan's own."""
+    rows = [(7, "one two three " * 30, "a", "h1", 1)] * 3 + [(7, "one two three " * 30, "a", "h2", None), (None, "x y", "a", None, 2), (0, "x y", "a", None, 2), (8, None, None, "q", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, before string, pass int")
+    mix = mixing.Mix(Workspace(spark, "test"), frame)
+    found, texts = mix.taken().collect(), mix.texts(frame)
+    assert len(found) == len(rows) and texts.columns == frame.columns
+    assert sum(r.taken for r in found) == sum(len(words(r.text)) for r in texts.collect())
+    assert mix.texts(frame).where("before = 'h2'").count() >= 1
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 3, 17, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit("k"))).collect()]
