@@ -3,8 +3,10 @@
 A fingerprint is compared only with fingerprints of its own shard. Shards come from the pigeonhole principle: 64 bits in
 ``radius + 1`` blocks, so two fingerprints within the radius agree on a whole block. A shard whose block is common is
 cut again by blocks of the bits that are left, until it is small enough for one tree; no pair within the radius is lost
-on the way. Each shard becomes one BK-tree, sent to the task that holds the shard's queries. The trees of a large corpus
-together have no bound, so they travel by shuffle; a tree alone is bounded by ``tree_size``.
+on the way. Each shard of two or more becomes one BK-tree, built where its fingerprints meet. The trees are broadcast,
+and every task looks its fingerprints up in their shards' trees, following only edges within the radius. Broadcasts have
+a bound, ``BROADCAST_ENTRIES`` over all trees of a level; the trees of a corpus that needs more stay in their shards'
+tasks, and the fingerprints, which are there too, are looked up in them there.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.graph import connected_components
+from pagewright.graph import connected_components, split_join
 from pagewright.workspace import Workspace, ship
 
 BITS = 64
 SHINGLE = 3
 RADIUS = 2
 TREE_SIZE = 1024
+#: Nodes that all broadcast trees of a level have together, at most: at 28 bytes each about 30 MB.
+BROADCAST_ENTRIES = 1 << 20
 
 
 # ---------------------------------------------------------------------------------------------- fingerprints
@@ -58,71 +62,133 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int64)
 
 
-class BKTree:
-    """Children keyed by their integer Hamming distance to the parent, in arrays.
+class BKForest:
+    """BK-trees side by side in arrays: children keyed by their integer Hamming distance to the parent.
 
-    ``child[i, d]`` is the node below ``i`` along the edge of distance ``d``, -1 if there is none. Items are inserted
+    ``edge`` holds, ascending, ``parent * (BITS + 1) + distance`` of each child, ``below`` the child. Items are inserted
     level by level: all items that stand at one node are dealt to its edges at once, the first of an edge becomes the
-    child.
+    child. ``roots`` are the first items of the trees; a tree's items follow one another.
     """
 
-    def __init__(self, items: np.ndarray):
-        self.items = items
-        n = len(items)
-        self.child = np.full((n, BITS + 1), -1, dtype=np.int64)
-        rest, at = np.arange(1, n), np.zeros(max(0, n - 1), dtype=np.int64)
+    def __init__(self, items: np.ndarray, roots: np.ndarray):
+        self.items, self.roots = items, roots.astype(np.int64)
+        rest = np.delete(np.arange(len(items)), self.roots)
+        at = self.roots[np.searchsorted(self.roots, rest, side="right") - 1]
+        edges, below = [], []
         while len(rest):
-            d = _distance(items[rest], items[at])
-            edge = at * (BITS + 1) + d
-            _, first = np.unique(edge, return_index=True)
-            self.child[at[first], d[first]] = rest[first]
-            at = self.child[at, d]
+            edge = at * (BITS + 1) + _distance(items[rest], items[at])
+            own, first, where = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(own), below.append(rest[first])
+            at = rest[first][where]
             stay = at != rest
             rest, at = rest[stay], at[stay]
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query index, node) pairs at no more than the radius; only edges d-radius..d+radius are followed."""
-        found_q, found_n = [], []
-        q = np.arange(len(queries))
-        node = np.zeros(len(queries) if len(self.items) else 0, dtype=np.int64)
-        q = q[: len(node)]
+        edge = np.concatenate(edges or [np.zeros(0, np.int64)])
+        order = np.argsort(edge, kind="stable")
+        self.edge, self.below = edge[order], np.concatenate(below or [np.zeros(0, np.int64)])[order].astype(np.int32)
+
+    def within(self, queries: np.ndarray, start: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query index, node) pairs at no more than the radius, each query from its tree's root in ``start``; only the
+        edges d-radius..d+radius are followed."""
+        found_q, found_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        q, node = np.arange(len(queries)), start.astype(np.int64)
         while len(q):
             d = _distance(queries[q], self.items[node])
             hit = d <= radius
-            found_q.append(q[hit])
-            found_n.append(node[hit])
+            found_q.append(q[hit]), found_n.append(node[hit])
             next_q, next_n = [], []
-            for step in range(-radius, radius + 1):
-                e = d + step
-                ok = (e >= 0) & (e <= BITS)
-                below = self.child[node[ok], e[ok]]
-                there = below >= 0
-                next_q.append(q[ok][there])
-                next_n.append(below[there])
-            q, node = np.concatenate(next_q), np.concatenate(next_n)
-        if not found_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(self.edge):
+                for step in range(-radius, radius + 1):
+                    e = d + step
+                    ok = (e >= 0) & (e <= BITS)
+                    key = node[ok] * (BITS + 1) + e[ok]
+                    at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                    there = self.edge[at] == key
+                    next_q.append(q[ok][there]), next_n.append(self.below[at[there]].astype(np.int64))
+            q = np.concatenate(next_q) if next_q else q[:0]
+            node = np.concatenate(next_n) if next_n else node[:0]
         return np.concatenate(found_q), np.concatenate(found_n)
 
 
-def _search(radius: int):
+class BKTree(BKForest):
+    """One tree."""
+
+    def __init__(self, items: np.ndarray):
+        super().__init__(items, np.zeros(min(1, len(items)), np.int64))
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query index, node) pairs at no more than the radius."""
+        return self.within(queries if len(self.items) else queries[:0], np.zeros(len(queries) * bool(len(self.items)), np.int64), radius)
+
+
+def _forest(batch: pa.RecordBatch) -> tuple[np.ndarray, BKForest, np.ndarray]:
+    """(shards, their trees, number of fingerprints in each) of rows (shard, fps)."""
+    lists = batch.column(1)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return batch.column(0).to_numpy(), BKForest(lists.flatten().to_numpy().view("<u8"), (ends - ends[0])[:-1]), np.diff(ends)
+
+
+def _pairs(queries: np.ndarray, items: np.ndarray, q: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    a, b = queries[q].view("<i8"), items[n].view("<i8")
+    keep = a < b  # each pair is found from either side
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def _search_in_place(radius: int):
+    """Pairs of rows (shard, fps), each shard searched by its own fingerprints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            values, ends = lists.flatten().to_numpy().view("<u8"), lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            a, b = [], []
-            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                shard = values[lo:hi]
-                if len(shard) == 2:
-                    if np.bitwise_count(shard[0] ^ shard[1]) <= radius:
-                        a.append(shard[:1].view("<i8")), b.append(shard[1:].view("<i8"))
-                    continue
-                q, n = BKTree(shard).within(shard, radius)
-                keep = q < n
-                a.append(shard[q[keep]].view("<i8")), b.append(shard[n[keep]].view("<i8"))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            if batch.num_rows:
+                _, forest, sizes = _forest(batch)
+                yield _pairs(forest.items, forest.items, *forest.within(forest.items, np.repeat(forest.roots, sizes), radius))
+
+    return run
+
+
+TREES = "shards binary, roots binary, items binary, edge binary, below binary"
+
+
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trees of rows (shard, fps), a row for each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            shards, forest, _ = _forest(batch)
+            arrays = (shards, forest.roots, forest.items, forest.edge, forest.below)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in arrays], names=[c.split(" ")[0] for c in TREES.split(", ")])
+
+
+class _Trees(BKForest):
+    """The forest of collected rows of :func:`_plant`; ``start(shards)`` gives each shard's root, -1 without a tree."""
+
+    def __init__(self, rows: list):
+        size = np.cumsum([0, *(len(r.items) // 8 for r in rows)])
+        read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+        whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.items = whole(read("items", "<u8"), "<u8")
+        self.edge = whole([x + at * (BITS + 1) for x, at in zip(read("edge", "<i8"), size, strict=False)], "<i8")
+        self.below = whole([(x + at).astype("<i4") for x, at in zip(read("below", "<i4"), size, strict=False)], "<i4")
+        shards, roots = whole(read("shards", "<i8"), "<i8"), whole([x + at for x, at in zip(read("roots", "<i8"), size, strict=False)], "<i8")
+        order = np.argsort(shards, kind="stable")
+        self.shards, self.roots = shards[order], roots[order]
+
+    def start(self, shards: np.ndarray) -> np.ndarray:
+        if not len(self.shards):
+            return np.full(len(shards), -1)
+        at = np.minimum(np.searchsorted(self.shards, shards), len(self.shards) - 1)
+        return np.where(self.shards[at] == shards, self.roots[at], -1)
+
+
+def _look_up(trees, radius: int):
+    """Pairs of rows (shard, fp) with what the broadcast trees hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = trees.value
+        for batch in batches:
+            start = forest.start(batch.column(0).to_numpy())
+            there = start >= 0
+            queries = batch.column(1).to_numpy()[there].view("<u8")
+            if len(queries):
+                yield _pairs(queries, forest.items, *forest.within(queries, start[there], radius))
 
     return run
 
@@ -147,11 +213,13 @@ def _keyed(fps: DataFrame, blocks: dict[str, list[int]]) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*shards)).alias("s")).select(F.xxhash64("s.p", "s.v").alias("shard"), F.col("s.block").alias("block"), "fp")
 
 
-def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints ``fps(fp)`` at Hamming distance <= radius; a pair may come more than once.
 
     Level by level: shards that fit into a tree are searched, the others are cut by blocks of the bits that their
-    members needn't share. The bits run out after a few levels, so every shard gets small in the end.
+    members needn't share. The bits run out after a few levels, so every shard gets small in the end. A level's trees
+    are broadcast if they have at most ``broadcast_entries`` nodes; else they are searched where they are built. Both
+    ways give the same pairs.
     """
     parts = radius + 1
     runs = _cut(list(range(BITS)), parts)
@@ -165,8 +233,15 @@ def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS, tree_size: int =
         final = all(BITS - len(b) <= 10 for b in blocks.values())
         small = sizes if final else sizes.where(F.col("n") <= tree_size)
         near = rows.join(small.select("shard", "block"), ["shard", "block"])
-        trees = near.repartition("shard").groupBy("shard", "block").agg(F.collect_list("fp").alias("fps")).select("fps")
-        new = ws.save(trees.mapInArrow(_search(radius), "a long, b long"), f"links-{level}")
+        trees = near.repartition("shard").groupBy("shard", "block").agg(F.collect_list("fp").alias("fps")).select("shard", "fps")
+        entries = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if entries <= broadcast_entries:
+            planted = trees.mapInArrow(_plant, TREES).collect()  # no more than broadcast_entries nodes
+            sent = ws.spark.sparkContext.broadcast(_Trees(planted))
+            new = rows.select("shard", "fp").mapInArrow(_look_up(sent, radius), "a long, b long")
+        else:
+            new = trees.mapInArrow(_search_in_place(radius), "a long, b long")
+        new = ws.save(new, f"links-{level}")
         found = new if found is None else found.union(new)
         large = sizes.where(F.col("n") > tree_size)
         if final or large.isEmpty():
@@ -186,7 +261,7 @@ def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS, tree_size: int =
         blocks, level = finer, level + 1
 
 
-def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs(doc_id, text)``.
 
     Documents link when their fingerprints differ in at most ``radius`` bits; component_id is the smallest doc_id that
@@ -195,12 +270,19 @@ def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, tree_s
     An empty table gives an empty table.
     """
     prints = ws.save(fingerprints(docs), "fingerprints")
-    classes = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected_components(ws, links(ws, classes.select("fp"), radius, tree_size))
-    of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = ws.save(of.join(names, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumnRenamed("fp", "of"), "classes")
+    roots = connected_components(ws, links(ws, classes.select(F.col("of").alias("fp")), radius, tree_size, broadcast_entries))
+    named = _named(ws, classes, roots, "of")
+    total = prints.count()
+    return split_join(prints, named, ("fp", "of"), "copies", total).select("doc_id", "fp", "component_id")
+
+
+def _named(ws: Workspace, classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``classes(key, first, ...)`` with component_id: the smallest ``first`` of all that have the same root."""
+    of = classes.join(roots, F.col(key) == F.col("node"), "left").withColumn("root", F.coalesce("root", key)).drop("node")
+    of = ws.save(of, "rooted")
+    names = ws.save(of.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")).withColumnRenamed("root", "name"), "names")
+    return ws.save(split_join(of, names, ("root", "name"), "members", of.count()).drop("root", "name", "members"), "named")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -222,14 +304,18 @@ def keep_one(ws: Workspace, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 #: For texts that are similar in content rather than in a few bits: five-word shingles, and at least this share of them
 #: in common. Fingerprints of such texts mostly differ in up to about 18 bits, of short texts in more; no block of bits
-#: survives that, so shards are the documents that share one of their smallest shingle hashes.
-TEXT_SHINGLE, SIMILARITY, WIDE_RADIUS, KEYS = 5, 0.8, 20, 6
-#: Bins of the sketch that orders candidates before texts are compared, and how far below the bar it may estimate.
-BINS, DOUBT = 64, 0.2
-#: A larger shard is dealt in parts; every two parts meet in one group.
-PART = 512
-#: The same where whole texts meet: a part's shingles, and the shingles that a text counts for besides its own.
-PART_SHINGLES, OVERHEAD = 1 << 18, 256
+#: survives that, so shards are the texts whose smallest shingle hashes agree under each of BAND_ROWS permutations, for
+#: one of BANDS such bands: of two texts with a similarity of 0.8 one in 10,000 pairs shares no shard, of 0.85 one in
+#: 600,000. Of texts that share a fifth of their shingles, a passage say, one pair in ten meets in any.
+TEXT_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 20
+BANDS, BAND_ROWS = 14, 3
+#: How far below the bar the likeness may be that texts' sketches (a byte of each smallest hash) estimate.
+DOUBT = 0.3
+#: A larger shard is dealt in parts of about this many texts, and where whole texts meet of this many shingles.
+PART, PART_SHINGLES = 512, 1 << 21
+_rng = np.random.default_rng(5)
+_FLIP, _TIMES = (_rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+_TIMES = _TIMES * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes, width: int = TEXT_SHINGLE, seed: int = 42) -> np.ndarray:
@@ -249,29 +335,47 @@ def _bits_of(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def _sketch(distinct: np.ndarray) -> np.ndarray:
-    """The smallest hash of each of BINS equal ranges, its upper bits; zero where there is none. ``distinct`` ascends."""
-    out = np.zeros(BINS, dtype="<u4")
-    bins, first = np.unique(distinct >> np.uint64(BITS - BINS.bit_length() + 1), return_index=True)
-    out[bins.astype(np.int64)] = ((distinct[first] >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype("<u4") | 1
-    return out
+def smallest(distinct: np.ndarray) -> np.ndarray:
+    """The smallest hash under each permutation; ``distinct`` isn't empty."""
+    low = np.full(len(_FLIP), np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(distinct), 2048):
+            np.minimum(low, ((distinct[start : start + 2048, None] ^ _FLIP) * _TIMES).min(axis=0), out=low)
+    return low
+
+
+DESCRIBED = "node long, fp long, size int, keys array<long>, sketch binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, keys, sketches = [], [], []
+        fps, keys, sketches, sizes = [], [], [], []
         for t in batch.column(1):
             distinct = np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b""))
-            fps.append(_bits_of(distinct) if len(distinct) else 0)  # a line that repeats outweighs nothing
-            keys.append(distinct[:KEYS].view("<i8").tolist())
-            sketches.append(_sketch(distinct).tobytes())
+            sizes.append(len(distinct))
+            if not len(distinct):
+                fps.append(0), keys.append([]), sketches.append(b"")
+                continue
+            fps.append(_bits_of(distinct))  # a line that repeats outweighs nothing
+            low = smallest(distinct)
+            bands = low.reshape(BANDS, BAND_ROWS)
+            keys.append([xxhash.xxh64_intdigest(bands[i].tobytes(), i) - (1 << 63) for i in range(BANDS)])
+            sketches.append(((low >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes())
         fp = np.array(fps, dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "fp", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[c.split(" ")[0] for c in DESCRIBED.split(", ")])
+
+
+def _sketches(packed: pa.BinaryArray) -> np.ndarray:
+    """The sketches of a column without nulls, a row for each."""
+    if not len(packed):
+        return np.zeros((0, BANDS * BAND_ROWS), np.uint8)
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(packed), -1)
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard likeness of the sketches' rows."""
-    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+    """Estimated Jaccard likeness of the sketches' rows; bytes agree by chance once in 256."""
+    return ((a == b).mean(axis=1) - 1 / 256) / (255 / 256)
 
 
 def spanning_pairs(n: int, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> list[int]:
@@ -305,34 +409,44 @@ def spanning_pairs(n: int, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -
     return chosen
 
 
-def _similar(radius: int, least: float):
+def _candidates(radius: int, similarity: float):
+    """Of each group of rows (node, fp, size, sketch): pairs that connect what is likely similar.
+
+    A BK-tree gives the pairs whose fingerprints are within the radius, sketches and sizes say which of them may be
+    similar. The likeliest that connect them all are chosen, and those of the text that is like most of the others.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
             ends = batch.column(0).offsets.to_numpy()
             ends = ends - ends[0]
-            node, fp, part = (batch.column(i).flatten().to_numpy() for i in (0, 1, 3))
-            packed = batch.column(2).flatten()
-            one, two = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            for g, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            node, fp, size = (batch.column(i).flatten().to_numpy() for i in range(3))
+            packed = _sketches(batch.column(3).flatten())
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
                 bits = fp[lo:hi].view("<u8")
-                x, y = np.flatnonzero(part[lo:hi] == one[g]), np.flatnonzero(part[lo:hi] == two[g])
-                if not len(x) or not len(y):
-                    continue
-                q, n = BKTree(bits[x]).within(bits[y], radius)
-                a, b = x[n], y[q]
-                if one[g] == two[g]:
-                    a, b = a[a < b], b[a < b]
+                b, a = BKTree(bits).near(bits, radius)
+                a, b = a[a < b], b[a < b]
+                own = size[lo:hi].astype(float)
+                fit = np.minimum(own[a], own[b]) >= similarity * np.maximum(own[a], own[b])
+                a, b = a[fit], b[fit]
                 if not len(a):
                     continue
-                sketches = np.stack([np.frombuffer(packed[i].as_buffer(), "<u4") for i in range(lo, hi)])
+                sketches = packed[lo:hi]
                 near = np.concatenate([_likeness(sketches[a[k : k + 65536]], sketches[b[k : k + 65536]]) for k in range(0, len(a), 65536)])
-                ok = near >= least
-                a, b = a[ok], b[ok]
-                keep = spanning_pairs(hi - lo, a, b, near[ok])
+                ok = near >= similarity - DOUBT
+                a, b, near = a[ok], b[ok], near[ok]
+                if not len(a):
+                    continue
+                keep = np.zeros(len(a), dtype=bool)
+                keep[spanning_pairs(hi - lo, a, b, near)] = True
+                total = np.bincount(a, near, hi - lo) + np.bincount(b, near, hi - lo)
+                middle = int(total.argmax())
+                keep |= (a == middle) | (b == middle)
                 left.append(node[lo:hi][a[keep]]), right.append(node[lo:hi][b[keep]])
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -376,91 +490,166 @@ def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray,
     return a, b
 
 
+SUSPECTS = "key long, p long, q long, node long, root long, side int"
+
+
+def _suspects(similarity: float):
+    """Of rows (key, p, q, nodes, roots, sizes, sketches, sides): those that may be similar to one of the other side and
+    another root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(3).offsets.to_numpy()
+            ends = ends - ends[0]
+            node, root, size, side = (batch.column(i).flatten().to_numpy() for i in (3, 4, 5, 7))
+            packed = _sketches(batch.column(6).flatten())
+            keep = np.zeros(len(node), dtype=bool)
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                x, y = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+                for i in y:
+                    small, large = np.minimum(size[x], size[i]), np.maximum(size[x], size[i])
+                    near = x[(root[x] != root[i]) & (small >= similarity * large)]
+                    if len(near):
+                        near = near[_likeness(packed[near], packed[i][None, :]) >= similarity - DOUBT]
+                        keep[near] = True
+                        keep[i] |= len(near) > 0
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))[keep]
+            columns = [batch.column(c).take(pa.array(row)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(node[keep]), pa.array(root[keep]), pa.array(side[keep], pa.int32())], names=[c.split(" ")[0] for c in SUSPECTS.split(", ")])
+
+    return run
+
+
 def _similar_in_full(similarity: float):
+    """Links between the two sides of each group of rows (key, p, q, node, root, side, shingles); groups are together."""
+
     def told(group: list) -> pa.RecordBatch:
-        node, root, part = (np.array([r[c] for r in group]) for c in range(3))
-        if (part == part[0]).all():
-            part = np.arange(len(part))
-        a, b = unlinked_pairs([r[3] for r in group], root, part, similarity)
+        node, root, side = (np.array([r[c] for r in group]) for c in range(3))
+        a, b = unlinked_pairs([r[3] for r in group], root, side, similarity)
         return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, []  # a group's rows follow each other, over batches too
         for batch in batches:
-            key, one, two, node, root, part = (batch.column(c).to_numpy() for c in range(6))
+            key, p, q, node, root, side = (batch.column(c).to_numpy() for c in range(6))
             lists = batch.column(6)
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             for k in range(batch.num_rows):
-                name = (key[k], one[k], two[k])
+                name = (key[k], p[k], q[k])
                 if name != last:
                     if len(group) > 1:
                         yield told(group)
                     last, group = name, []
-                group.append((node[k], root[k], part[k], flat[ends[k] : ends[k + 1]].copy()))
+                group.append((node[k], root[k], side[k], flat[ends[k] : ends[k + 1]].copy()))
         if len(group) > 1:
             yield told(group)
 
     return run
 
 
-def _in_parts(rows: DataFrame) -> DataFrame:
-    """Rows of (node, parts) dealt to groups: (part, one, two) tell the row's part, and the parts of a group."""
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return rows.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+def _part(of: str) -> Column:
+    """The part of its shard that a node is dealt to, of as many as ``of`` says."""
+    return F.pmod(F.xxhash64("key", "node"), F.col(of))
 
 
 def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, part: int = PART, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """(node, component_id): for each distinct text, by its xxhash64, the smallest doc_id of its group.
 
     Equal texts are one. Different texts link when at least ``similarity`` of their distinct five-word shingles are
-    common to both. Shards hold the texts that share one of their KEYS smallest shingle hashes; in a shard a BK-tree
-    finds the fingerprints within the radius; sketches choose, among the pairs found, a tree that connects them, the
-    likeliest first; the texts of its pairs are compared in full. That links most texts soon, but a pair of the tree may
-    fail, and no radius holds all similar texts: after it, all pairs whose texts these links don't connect are compared
-    in full, in every shard that holds such texts. Null texts are empty; texts without words link with nothing but their equals. Null
-    doc_ids name no group.
+    common to both. Shards hold the texts that agree in a band of smallest hashes (see BANDS). Links are found in three
+    steps, and each pair that is taken for one has been compared in full:
+
+    - In each part of a shard a BK-tree finds the fingerprints within the radius; of those that sketches don't rule out,
+      pairs that connect them are compared.
+    - Where a shard's texts aren't all connected, those outside its largest group are compared with the text of the
+      shard that has most links.
+    - What is still apart in a shard, and not ruled out by sketches, is compared pair by pair, whatever its fingerprints:
+      each text outside the largest group with every text of another group.
+
+    So groups of copies cost in proportion to their size; work in the square of a shard is left only for texts that
+    look similar and aren't. Null texts are empty; texts without words link with nothing but their equals. Null doc_ids
+    name no group. An empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    classes = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts")
-    told = rows.select("node", F.col("text").cast("binary")).mapInArrow(_describe, "node long, fp long, keys array<long>, sketch binary")
-    told = ws.save(told, "described")
-    # copies of a text are described alike: a copy is any of its rows, and equal entries are one
-    keyed = told.select("node", "fp", "sketch", F.explode("keys").alias("key"))
-    sizes = keyed.select("key", "node").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = ws.save(sizes.select(F.col("key").alias("k"), F.ceil(F.col("n") / part).alias("parts")), "key-sizes")
-    members = ws.save(keyed.join(sizes, F.col("key") == F.col("k")).dropDuplicates(["key", "node"]).select("key", "node", "fp", "sketch", "parts"), "members")
-    entries = _in_parts(members)
-    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "fp", "sketch", "part")]
-    groups = entries.groupBy("key", "one", "two").agg(*lists).where(F.size("nodes") > 1).select("nodes", "fps", "sketchs", "parts", "one", "two")
-    pairs = ws.save(groups.mapInArrow(_similar(radius, similarity - DOUBT), "a long, b long").distinct(), "pairs")
-    ends = members.select(F.col("node").alias("end")).distinct()
+    classes = ws.save(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumnRenamed("node", "of"), "texts")
+    told = ws.save(rows.select("node", F.col("text").cast("binary")).mapInArrow(_describe, DESCRIBED), "described")
+    # shards of two texts or more; copies of a text have the same keys
+    keyed = told.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("k", "n")
+    shared = ws.save(shared, "shared-keys")
+    members = split_join(keyed, shared, ("key", "k"), "n", told.count() * BANDS).select("key", "node").distinct()
+    members = ws.save(members, "members")
+    ends = ws.save(members.select(F.col("node").alias("end")).distinct(), "ends")
+    payload = told.select("node", "fp", "size", "sketch").dropDuplicates(["node"]).join(ends, F.col("node") == F.col("end")).drop("end")
+    payload = ws.save(payload.withColumnRenamed("node", "of"), "payload")
     full = rows.join(ends, F.col("node") == F.col("end")).select("node", "text").dropDuplicates(["node"])
     full = ws.save(full.select("node", F.col("text").cast("binary")).mapInArrow(_shingle_sets, "node long, shingles array<long>"), "shingles")
+
+    total = members.count()
+    sizes = ws.save(members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")), "shard-sizes")
+    dealt = split_join(members, sizes, ("key", "k"), "n", total).withColumn("parts", F.ceil(F.col("n") / part)).withColumn("part", _part("parts"))
+    dealt = dealt.join(payload, F.col("node") == F.col("of"))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "fp", "size", "sketch")]
+    groups = dealt.groupBy("key", "part").agg(*lists).where(F.size("nodes") > 1).select("nodes", "fps", "sizes", "sketchs")
+    pairs = ws.save(groups.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "pairs")
+    links = ws.save(_compared(pairs, full, similarity), "links")
+    roots = connected_components(ws, links, "linked").select(F.col("node").alias("r"), "root")
+    held = members.join(roots, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node"))
+    held = ws.save(held.join(payload.select("of", "size"), F.col("node") == F.col("of")).select("key", "node", "root", "size"), "held")
+
+    # shards that aren't one group: the largest group, and the text with most links
+    degree = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("degree"))
+    weights = held.join(degree, F.col("node") == F.col("end"), "left").groupBy("key", "root")
+    hub = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "root")
+    weights = weights.agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.max(hub).alias("hub"))
+    apart = weights.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("main"), F.max("hub").alias("hub")).where("roots > 1")
+    parts = lambda n, w: F.ceil(F.greatest(n / part, w / part_shingles))
+    apart = apart.select("k", "n", "hub", F.col("main.root").alias("main"), parts(F.col("n"), F.col("w")).alias("ps"), parts(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("qs"))
+    apart = ws.save(apart, "apart")
+    open_ = ws.save(split_join(held, apart, ("key", "k"), "n", total).drop("k", "n"), "open")
+    stars = open_.where("root <> main and root <> hub.root and hub.degree > 0").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    stars = ws.save(_compared(stars, full, similarity), "star-links")
+    # labels that the stars make equal; equal labels are connected, and that is all they have to tell
+    where = roots.withColumnRenamed("root", "at")
+    met = stars.join(where, F.col("a") == F.col("r"), "left").withColumn("x", F.coalesce("at", "a")).drop("r", "at")
+    met = met.join(where, F.col("b") == F.col("r"), "left").withColumn("y", F.coalesce("at", "b")).select(F.greatest("x", "y").alias("from"), F.least("x", "y").alias("to")).where("from <> to")
+    met = ws.save(met.groupBy("from").agg(F.min("to").alias("to")), "met")
+    label = lambda df, c: df.join(met, F.col(c) == F.col("from"), "left").withColumn(c, F.coalesce("to", c)).drop("from", "to")
+    open_ = ws.save(label(label(open_.drop("size", "hub"), "root"), "main"), "labelled")
+    still = open_.where("root <> main").groupBy(F.col("key").alias("k")).agg(F.count("*").alias("lone"))
+    both = open_.join(still, F.col("key") == F.col("k")).join(payload, F.col("node") == F.col("of")).select("key", "node", "root", "size", "sketch", "main", "ps", "qs")
+    all_ = both.withColumn("side", F.lit(0)).withColumn("p", _part("ps")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
+    lone = both.where("root <> main").withColumn("side", F.lit(1)).withColumn("q", _part("qs")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ps") - 1)))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "root", "size", "sketch", "side")]
+    groups = all_.unionByName(lone).groupBy("key", "p", "q").agg(*lists).where(F.array_contains("sides", 1))
+    found = ws.save(groups.mapInArrow(_suspects(similarity), SUSPECTS), "suspects")
+    rest = found.join(full.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("key", "p", "q", "node", "root", "side", "shingles")
+    rest = rest.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    more = ws.save(rest.mapInArrow(_similar_in_full(similarity), "a long, b long"), "more-links")
+    roots = connected_components(ws, links.union(stars).union(more), "similar")
+    return _named(ws, classes, roots, "of").select(F.col("of").alias("node"), "component_id", "copies")
+
+
+def _compared(pairs: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
     both = pairs.join(full.select(F.col("node").alias("na"), F.col("shingles").alias("x")), F.col("a") == F.col("na"))
     both = both.join(full.select(F.col("node").alias("nb"), F.col("shingles").alias("y")), F.col("b") == F.col("nb"))
     shared = F.size(F.array_intersect("x", "y"))
-    links = ws.save(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "links")
-    roots = connected_components(ws, links, "linked").select(F.col("node").alias("r"), "root")
-    held = members.select("key", "node").join(roots, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node"))
-    held = ws.save(held.join(full.select(F.col("node").alias("n"), F.size("shingles").alias("size")), F.col("node") == F.col("n")).select("key", "node", "root", "size"), "held")
-    weight = F.sum(F.col("size").cast("long") + OVERHEAD)
-    apart = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(weight / part_shingles).alias("parts")).where("low <> high")
-    rest = _in_parts(held.join(apart.select(F.col("key").alias("k"), "parts"), F.col("key") == F.col("k")))
-    rest = rest.select("key", "one", "two", "node", "root", "part").join(full.select(F.col("node").alias("n"), "shingles"), F.col("node") == F.col("n")).drop("n")
-    rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    more = ws.save(rest.mapInArrow(_similar_in_full(similarity), "a long, b long"), "more-links")
-    roots = connected_components(ws, links.union(more), "similar")
-    of = classes.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    names = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return ws.save(of.join(names, "root").select("node", "component_id"), "similar-groups")
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
 def keep_one_similar(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of similar texts is kept: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay, as do rows that repeat a kept doc_id with the same text.
+    Rows with a null doc_id stay, as do rows that repeat a kept doc_id with the same text. What goes are (doc_id, text)
+    pairs, told by ids and hashes; columns keep their names, whatever those are. An empty table gives an empty table.
     """
-    groups = similar_groups(ws, docs, similarity).select(F.col("node").alias("__node"), "component_id").withColumnRenamed("component_id", "__first")
-    rows = docs.withColumn("__n", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = rows.join(groups, F.col("__n") == F.col("__node")).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("__first")))
-    return kept.select(*docs.columns)
+    groups = similar_groups(ws, docs, similarity)
+    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), node.alias("node")).where("id is not null").distinct()
+    ids = ws.save(ids, "ids")
+    told = split_join(ids, groups.withColumnRenamed("node", "of"), ("node", "of"), "copies", ids.count())
+    gone = ws.save(told.where("id <> component_id").select("id", "node"), "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("row_id"), node.alias("row_node"))
+    kept = rows.join(gone, (F.col("row_id") == F.col("id")) & (F.col("row_node") == F.col("node")), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -40,8 +40,8 @@ def test_fingerprints_of_odd_texts():
         assert simhash_bk.fingerprint(text.encode()) == brute_fingerprint(text), text
 
 
-@pytest.mark.parametrize("tree_size", [1024, 3])
-def test_groups_match_brute_force(spark, tree_size):
+@pytest.mark.parametrize(("tree_size", "broadcast_entries"), [(1024, 1 << 20), (3, 0), (5, 200)])
+def test_groups_match_brute_force(spark, tree_size, broadcast_entries):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = set(base.tolist())
@@ -57,7 +57,7 @@ def test_groups_match_brute_force(spark, tree_size):
     ws = Workspace(spark, "test")
     frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     signed = lambda x: x % (1 << 64)
-    found = {frozenset((signed(r.a), signed(r.b))) for r in simhash_bk.links(ws, frame, 2, tree_size).collect()}
+    found = {frozenset((signed(r.a), signed(r.b))) for r in simhash_bk.links(ws, frame, 2, tree_size, broadcast_entries).collect()}
     brute = {frozenset((x, y)) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 2}
     assert found == brute
 
@@ -67,7 +67,7 @@ def test_bk_tree_follows_edges_within_the_radius():
     items = np.unique(rng.integers(0, 1 << 20, 500, dtype=np.uint64))
     tree = simhash_bk.BKTree(items)
     for radius in (0, 1, 3):
-        q, n = tree.within(items, radius)
+        q, n = tree.near(items, radius)
         brute = {(i, j) for i in range(len(items)) for j in range(len(items)) if int(items[i] ^ items[j]).bit_count() <= radius}
         assert set(zip(q.tolist(), n.tolist(), strict=True)) == brute
 
