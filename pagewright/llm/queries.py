@@ -66,5 +66,16 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_composite_text_density, op2_pivot_permutation_index, op3_simhash_bk_trees, op4_bottom_k_sketches, op5_mixing_by_blocks, op6_deleted_interpolation, op7_bpe_pair_index, op8_seekable_warc, op9_rule_ensemble, op10_token_parquet)}
 
-#: SQL where SQL can tell the whole result.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL where SQL can tell the whole result: base32 is SHA-1's hexadecimal digits by fives, each five four letters.
+ORACLE_SQL: dict[str, str] = {
+    "op8_seekable_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+          SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY h) AS last,
+                 array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1) for i in range(32)], '') AS payload_digest FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to FROM d""",
+}

@@ -9,6 +9,7 @@ Records with equal payloads are stored once; the others are revisits that name t
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.files import Whole, filesystem
@@ -31,6 +32,10 @@ DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, archive string, frame int, frame_start long, offset long, length long, raw_size long"
 
 
+def _digest(payload: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def record_id(page_id: int | None, key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{page_id}/{key}')}>"
 
@@ -168,6 +173,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raw = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=size)
                     header, http, payload = parse_record(raw[e["offset"] : e["offset"] + e["length"]])
                     full = next(int(line.partition(b":")[2]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
+                    if header["warc-type"] == "response" and (len(payload) != full or _digest(payload) != header["warc-payload-digest"]):
+                        raise ValueError(f"{archive}: frame {at} at {e['offset']}: the payload isn't what its record says")
                     page, refers = header.get("warc-page-id"), header.get("warc-refers-to-page-id")
                     out.append((page and int(page), header.get("warc-target-uri"), header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:"), full, refers and int(refers), payload if header["warc-type"] == "response" else None))
                     held += len(payload)
@@ -186,22 +193,24 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split(" ")[0] for c in RECORDS.split(", ")])
 
 
-def read_records(index: DataFrame, run: int = 20_000) -> DataFrame:
+#: Bytes of records that a task reads at a time, about.
+RUN_BYTES = 16 << 20
+
+
+def read_records(index: DataFrame, run: int = RUN_BYTES) -> DataFrame:
     """(page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload) of the index's records.
 
     Each archive's frames are found by its footer; only frames with wanted records are read, each once in a run of
-    frames. Filter the index to read a few records. payload is null for revisits; payload_bytes is that of the full one.
+    frames, and runs are dealt out by number: by the size of the index Spark would give them all to one task. A response
+    whose payload hasn't the length and digest that its record tells is an error. Filter the index to read a few records;
+    an empty index gives no rows. payload is null for revisits; payload_bytes is that of the full one.
     """
     ship(index.sparkSession)
-    wanted = index.withColumn("run", F.floor(F.sum("length").over(_by_archive()) / (run * 1024)))
-    grouped = wanted.groupBy("archive", "run").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("entries")).select("archive", "entries")
-    return grouped.mapInArrow(_read, RECORDS)
-
-
-def _by_archive():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("archive").orderBy("frame", "offset")
+    upto = F.sum("raw_size").over(Window.partitionBy("archive").orderBy("frame"))
+    frames = index.groupBy("archive", "frame", "raw_size").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("own"))
+    runs = frames.withColumn("run", F.floor((upto - 1) / run)).groupBy("archive", "run").agg(F.flatten(F.collect_list("own")).alias("entries"))
+    n = index.select("archive", "frame", "raw_size").distinct().agg(F.coalesce(F.sum("raw_size"), F.lit(0))).first()[0] // run + 1
+    return runs.repartition(n, "archive", "run").select("archive", "entries").mapInArrow(_read, RECORDS)
 
 
 def read_pages(spark: SparkSession, index: DataFrame, page_ids: list[int]) -> DataFrame:
