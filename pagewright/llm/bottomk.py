@@ -14,8 +14,8 @@ from pagewright.workspace import Workspace
 
 K = 128
 SHINGLE = 5
-#: Hashes are below 2**HASH_BITS: eight hexadecimal digits.
-HASH_BITS = 32
+#: Hashes are below 2**HASH_BITS, so that a sketch's numbers are never negative; sixteen hexadecimal digits each.
+HASH_BITS = 63
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -49,7 +49,8 @@ def merge_all(df: DataFrame, keys: list[str], column: str, k: int = K, fan: int
     """(keys, column): the sketches of each group merged, ``fan`` rows at a time before the group meets.
 
     Only the k smallest hashes of a group ever meet in one row: hashes are ranked within salted parts first, so a group
-    that holds a third of all rows is no single task's work. Null sketches count as empty.
+    that holds a third of all rows is no single task's work. Null sketches count as empty; a group of empty ones has an
+    empty sketch. Null keys are a group; repeated rows change nothing; an empty table gives an empty table.
     """
     salted = df.select(*keys, F.coalesce(F.col(column), F.array().cast("array<bigint>")).alias("x"), F.pmod(F.monotonically_increasing_id(), F.lit(fan)).alias("salt"))
     hashes = salted.select(*keys, "salt", F.explode_outer("x").alias("v")).distinct()
@@ -80,8 +81,8 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def fingerprint(a: Column) -> Column:
-    """A sketch as a string, eight hexadecimal digits for each hash."""
-    return F.lower(F.array_join(F.transform(a, lambda v: F.lpad(F.hex(v), HASH_BITS // 4, "0")), ""))
+    """A sketch as a string, sixteen hexadecimal digits for each hash."""
+    return F.lower(F.array_join(F.transform(a, lambda v: F.lpad(F.hex(v), 16, "0")), ""))
 
 
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
