@@ -4,9 +4,10 @@ Maximum-likelihood estimates of bigrams, unigrams and a uniform floor are mixed;
 the context occurred, in buckets of powers of two. The mixture weights are learned by expectation-maximisation on a slice
 of the training documents against the counts of the others; the scores then use the counts of all training documents.
 
-N-grams are 64-bit hashes. The table is read in blocks (its partitions). A block asks for the counts of its own distinct
-n-grams: packed key arrays go to the reducers by key range, summed counts come back in the same order. So a frequent
-n-gram is one entry a block, nothing is broadcast but the totals, and no table of all n-grams is in one place.
+N-grams are 64-bit hashes. Documents are dealt to blocks by a hash of id and text, so a block is the same documents
+however often and wherever the table is read. A block asks for the counts of its own distinct n-grams: packed key arrays
+go to the reducers by key range, summed counts come back in the same order. So a frequent n-gram is one entry a block,
+nothing is broadcast but the totals, and no table of all n-grams is in one place. Counts are 64-bit.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from pagewright.workspace import Workspace, ship
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: The remainder of crc32(doc_id) mod FOLDS that is held out, and the one that the weights are learned on.
 FOLDS, HELD_OUT, SLICE = 10, 0, 1
+SLICE_KIND = 1
 BUCKETS = 32
 #: Bytes of the table in a block, and in a key range of the reducers, about: bound the memory of a task.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 #: Steps of log10 probability to which the learning of weights rounds: bounds what the driver gathers.
-GRID = 50
+GRID = 20
 REQUEST = "block long, kind int, ord int, bucket int, keys binary, counts binary"
-REPLY = "block long, ord int, bucket int, total binary, part binary, v long, n long, n_part long"
+REPLY = "block long, ord int, bucket int, width int, total binary, part binary, v long, n long, n_part long"
 
 
 # ---------------------------------------------------------------------------------------------- tokens of a block
@@ -91,22 +93,19 @@ def _packed(block: int, kind: int, order: int, keys: np.ndarray, counts: np.ndar
 
 
 def _request(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        blocks, kinds = table.column(0).to_numpy(), table.column(1).to_numpy()
-        for block in np.unique(blocks).tolist():
-            own = np.flatnonzero(blocks == block)
-            grams = Grams(table.column(2).take(pa.array(own)).combine_chunks())
-            counted = np.repeat(kinds[own] != 0, grams.length)
-            for order, keys in ((1, grams.token), (2, grams.pair)):
-                at = np.argsort(keys, kind="stable")
-                keys = keys[at]
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                counts = np.add.reduceat(counted[at].astype(np.uint32), first)
-                yield _batch(list(_packed(block, int(kinds[own[0]] == 1), order, keys[first], counts, bits)), REQUEST)
+    """What a block, a group of rows (block, kind, text), asks for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, kinds = table.column("block")[0].as_py(), table.column("kind").to_numpy()
+        grams, rows = Grams(table.column("text").combine_chunks()), []
+        counted = np.repeat(kinds != 0, grams.length)
+        for order, keys in ((1, grams.token), (2, grams.pair)):
+            at = np.argsort(keys, kind="stable")
+            keys = keys[at]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            counts = np.add.reduceat(counted[at].astype(np.uint32), first)
+            rows += _packed(block, int(kinds[0] == 1), order, keys[first], counts, bits)
+        return pa.Table.from_batches([_batch(rows, REQUEST)])
 
     return run
 
@@ -134,16 +133,17 @@ def _sum(table: pa.Table) -> pa.Table:
 
     def sums(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sum of each distinct key, the same at every entry)."""
-        each = np.add.reduceat(counts[at], first, dtype=np.uint32)
-        back = np.empty(len(at), dtype="<u4")
+        each = np.add.reduceat(counts[at], first, dtype=np.uint64)
+        back = np.empty(len(at), dtype="<u4" if not len(each) or each.max() < 1 << 32 else "<u8")
         back[at] = np.repeat(each, width)
         return each, back
 
     total, totals = sums(counts)
     part, parts = sums(counts * np.repeat(np.array(kinds) == 1, size))
-    rows = [(-1, order, bucket, None, None, int((total > 0).sum()), int(total.sum(dtype=np.int64)), int(part.sum(dtype=np.int64)))]
+    rows = [(-1, order, bucket, 0, None, None, int((total > 0).sum()), int(total.sum(dtype=np.int64)), int(part.sum(dtype=np.int64)))]
     for block, kind, hi, n in zip(blocks, kinds, ends, size, strict=True):
-        rows.append((block, order, bucket, totals[hi - n : hi].tobytes(), parts[hi - n : hi].tobytes() if kind else None, 0, 0, 0))
+        own = parts[hi - n : hi].astype(totals.dtype).tobytes() if kind else None
+        rows.append((block, order, bucket, totals.itemsize, totals[hi - n : hi].tobytes(), own, 0, 0, 0))
     return pa.Table.from_batches([_batch(rows, REPLY)])
 
 
@@ -160,7 +160,7 @@ def _counts(grams: Grams, replies: pa.Table, column: str) -> tuple[np.ndarray, n
     out = []
     for order, keys in ((1, grams.token), (2, grams.pair)):
         own = replies.filter(pc.equal(replies.column("ord"), order)).sort_by("bucket")
-        values = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in own.column(column)] or [np.zeros(0, "<u4")])
+        values = np.concatenate([np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(own.column(column), own.column("width").to_pylist(), strict=True)] or [np.zeros(0, "<u4")])
         out.append(values[np.unique(keys, return_inverse=True)[1]].astype(np.float64))
     return out[0], out[1]
 
@@ -234,8 +234,8 @@ def _score(weights: np.ndarray, n: int, v: int, starts: int):
 class Model:
     """A model of ``docs(doc_id, text)``, and the scores of the same documents.
 
-    ``docs`` must give the same partitions, with the same rows in the same order, each time it is read: a table, or what
-    ``ws.save`` returns. A document's id as text (null: none) decides by its CRC-32 modulo ``FOLDS`` if it is held out.
+    ``docs`` is read more than once and must give the same rows each time: a table, or what ``ws.save`` returns; how it
+    is cut into partitions doesn't matter. A document's id as text (null: none) decides by its CRC-32 modulo ``FOLDS`` if it is held out.
     Null and empty texts are one end token. Rows that repeat are documents of their own; other columns are ignored; an
     empty table gives an empty table.
     """
@@ -243,17 +243,18 @@ class Model:
     def __init__(self, ws: Workspace, docs: DataFrame):
         ship(docs.sparkSession)
         fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-        kind = F.when(fold == HELD_OUT, 0).when(fold == SLICE, 1).otherwise(2)
-        # blocks of about BLOCK_BYTES: shares of a partition; the slice's documents are blocks of their own
-        size, partitions = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), max(1, docs.rdd.getNumPartitions())
+        kind = F.when(fold == HELD_OUT, 0).when(fold == SLICE, SLICE_KIND).otherwise(2)
+        # blocks of about BLOCK_BYTES; the slice's documents are blocks of their own. Scores don't depend on their number
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size >= 1 << 50:  # no table: Spark knows no size
             size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        shares = max(1, -(-size // partitions // BLOCK_BYTES))
-        share = F.when(kind == 1, shares).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shares)))
-        block = F.spark_partition_id().cast("long") * (shares + 1) + share
+        blocks = max(1, -(-size // BLOCK_BYTES))
+        slice_blocks = max(1, -(-blocks // FOLDS))
+        of = lambda n: F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+        block = F.when(kind == SLICE_KIND, of(slice_blocks) + blocks).otherwise(of(blocks)).cast("long")
         self.docs = docs.select(block.alias("block"), kind.alias("kind"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
         bits = max(5, (size // RANGE_BYTES).bit_length())
-        requests = self.docs.select("block", "kind", "text").mapInArrow(_request(bits), REQUEST)
+        requests = self.docs.select("block", "kind", "text").groupBy("block").applyInArrow(_request(bits), REQUEST)
         self.replies = ws.save(requests.groupBy("ord", "bucket").applyInArrow(_sum, REPLY), "counts")
         sums = self.replies.where("block = -1 and ord = 1").agg(F.sum("v"), F.sum("n"), F.sum("n_part")).first()
         self.v, self.n, n_part = (x or 0 for x in sums)
@@ -265,7 +266,7 @@ class Model:
         self.weights = learn_weights(seen[:, 0].astype(np.int64), value(seen[:, 1]), value(seen[:, 2]), 1 / (self.v + 1), seen[:, 3])
 
     def _blocks(self, em: bool | None, run, schema: str) -> DataFrame:
-        docs, replies = self.docs, self.replies.where("block >= 0").select("block", "ord", "bucket", "total", "part")
+        docs, replies = self.docs, self.replies.where("block >= 0").select("block", "ord", "bucket", "width", "total", "part")
         if em:
             docs, replies = docs.where("kind = 1"), replies.where("part is not null")
         return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
