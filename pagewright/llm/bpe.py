@@ -1,7 +1,7 @@
 """Byte-level BPE with a pair occurrence index.
 
-Texts are cut into words by the vocabulary's pattern. The distinct words of a part of the table stand in one array of
-symbols, linked both ways. An index maps each mergeable pair to all its positions. Active ranks are applied in ascending
+Texts are cut into words by the vocabulary's pattern. The words that a run of texts of a part of the table has for the
+first time stand, each once, in one array of symbols, linked both ways. An index maps each mergeable pair to all its positions. Active ranks are applied in ascending
 order, each at all its positions at once; a merge changes its neighbours, whose new pairs go to the lists of their ranks.
 A rank's new pairs always rank higher, so one ascending pass ends with no pair left.
 """
@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,14 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def bytes_of(texts: pa.StringArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all entries, where each begins in them, with the end as the last) of a column without nulls."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
 class Vocabulary:
     """Of a tokenizer.json with a byte-level BPE model."""
 
@@ -84,12 +92,14 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: pa.BinaryArray | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each word), by the pair occurrence index."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        sym = self.symbol[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        if not isinstance(words, pa.Array):
+            words = pa.array(words, pa.binary())
+        data, starts = bytes_of(words)
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        size, sym = np.diff(starts), self.symbol[data]
         n = len(sym)
         word = np.repeat(np.arange(len(words)), size)
         nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -166,84 +176,148 @@ class Vocabulary:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
-class WordIds(dict):
-    """Word -> its number; unknown words are numbered as they come."""
+#: Classes of bytes for :func:`plain_words`: letter, digit, other, white space. In plain texts bytes from 0x80 on are letters'.
+_CLASS = np.full(256, 2, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+_CLASS[48:58], _CLASS[[*range(9, 14), 32]] = 1, 3
+
+
+def plain(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each text (UTF-8 bytes from ``starts[i]`` to ``starts[i + 1]``) is one that ``PLAIN_PATTERN`` serves."""
+    follows = np.append(False, data[:-1] == 0xC3)
+    bad = (data >= 0xC4) | (data == 0xC2) | ((data >= 0x1C) & (data <= 0x1F)) | (follows & ((data == 0x97) | (data == 0xB7)))
+    upto = np.append(0, np.cumsum(bad))
+    return upto[starts[1:]] == upto[starts[:-1]]
+
+
+def plain_words(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where words begin in plain texts that follow one another, with the end of all as the last entry.
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    The same words as ``PLAIN_PATTERN`` finds: runs of one class of bytes, of which those that aren't white space take a
+    space before them along; the last of several white spaces before a word stands alone if it isn't a space; the short
+    endings after an apostrophe are words of their own.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(1, np.int64)
+    kind = _CLASS[data]
+    cut = np.append(True, kind[1:] != kind[:-1])
+    first = np.zeros(n + 1, dtype=bool)  # of a text
+    first[starts] = True
+    cut |= first[:n]
+    run = np.flatnonzero(cut)
+    end = np.append(run[1:], n)
+    what, last = kind[run], data[end - 1]
+    ends_text = first[end] | (end == n)
+    space = what == 3
+    gives = space & ~ends_text & (last == 32)  # its last space goes with the word after it
+    took = np.append(False, gives[:-1])
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[run[~space & ~took]] = True
+    begins[run[took] - 1] = True
+    begins[run[space & ~(gives & (end - run == 1))]] = True
+    begins[end[space & ~ends_text & ~gives] - 1] = True
+    # apostrophes that stand alone, no space before them, and a run of letters after them
+    after = np.append(what[1:], 3)
+    mark = np.flatnonzero((what == 2) & (end - run == 1) & (data[run] == 39) & ~took & (after == 0) & ~ends_text)
+    if len(mark):
+        at = run[mark + 1]
+        left = end[mark + 1] - at
+        one, two = data[at], data[np.minimum(at + 1, n - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (left > 1) & ((((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108)))
+        width = np.where(short, 1, np.where(long, 2, 0))
+        at, left, width = at[width > 0], left[width > 0], width[width > 0]
+        begins[at] = False
+        begins[(at + width)[left > width]] = True
+    begins[n] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
-    """Encodes texts word by word; remembers the ids of the words that it has met, up to ``remember`` of them."""
+    """Encodes texts word by word; remembers the ids of the words that it has met, up to ``remember`` of them and
+    ``remember_bytes`` of their bytes. Words stay in Arrow arrays, no word is an object of its own."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 1_500_000, encode_words=None):
-        self.vocabulary, self.remember = vocabulary, remember
-        self.encode_words = encode_words or (lambda words: vocabulary.encode_words([w.encode() for w in words]))
+    def __init__(self, vocabulary: Vocabulary, remember: int = 1_000_000, encode_words=None, remember_bytes: int = 32 << 20):
+        self.vocabulary, self.remember, self.remember_bytes = vocabulary, remember, remember_bytes
+        self.encode_words = encode_words or vocabulary.encode_words
+        self.added = {(ADDED + name).encode(): i for name, i in vocabulary.added.items()}
         self.forget()
 
     def forget(self) -> None:
-        self.numbers = WordIds()
-        self.known = 0
-        self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = pa.array([], pa.binary())
+        self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text)."""
-        if len(self.numbers) > self.remember:
+    def batch(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text); null texts have none."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if len(self.known) > self.remember or self.known.nbytes > self.remember_bytes:
             self.forget()
-        number, parts, sizes = self.numbers.__getitem__, [], []
-        for text in texts:
-            if self.vocabulary.splitter and "<" in text and self.vocabulary.splitter.search(text):
-                words = []
-                for piece in self.vocabulary.splitter.split(text):
-                    if piece in self.vocabulary.added:
-                        words.append(ADDED + piece)
-                    else:
-                        words += words_of(piece)
-            else:
-                words = words_of(text)
-            parts.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-            sizes.append(len(words))
-        self._learn()
-        at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        count = self.count[at]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - count), count)]
-        edge = np.append(0, ends)[np.append(0, np.cumsum(sizes))] if sizes else np.zeros(1, np.int64)
-        return ids, np.diff(edge)
-
-    def _learn(self) -> None:
-        if len(self.numbers) == self.known:
-            return
-        new = list(self.numbers)[self.known :] if self.known == 0 else self._tail()
-        plain = [w for w in new if not w.startswith(ADDED)]
-        ids, count = self.encode_words(plain)
-        if len(plain) < len(new):
-            all_ids, all_count, at, k = [], [], 0, 0
-            for w in new:
-                if w.startswith(ADDED):
-                    all_ids.append(np.array([self.vocabulary.added[w[len(ADDED) :]]]))
-                    all_count.append(1)
+        data, starts = bytes_of(texts)
+        easy = plain(data, starts)
+        if self.added and (data == 60).any():
+            easy &= ~pc.match_substring_regex(texts, "|".join(map(re.escape, self.vocabulary.added))).to_numpy(zero_copy_only=False)
+        if easy.all():
+            at, words = self._plain(data, starts)
+        else:
+            own, bounds = self._plain(*bytes_of(texts.filter(pa.array(easy))))
+            parts, k = [], 0
+            for text, e in zip(texts.to_pylist(), easy.tolist(), strict=True):
+                if e:
+                    parts.append(own[bounds[k] : bounds[k + 1]])
+                    k += 1
                 else:
-                    all_ids.append(ids[at : at + count[k]])
-                    all_count.append(count[k])
-                    at, k = at + count[k], k + 1
-            ids, count = np.concatenate(all_ids), np.array(all_count)
-        base = len(self.ids)
+                    parts.append(self._numbers(pa.array([w.encode() for w in self._words(text)], pa.binary())))
+            words = np.append(0, np.cumsum([len(x) for x in parts]))
+            at = np.concatenate(parts)
+        count = self.count[at]
+        upto = np.append(0, np.cumsum(count, dtype=np.int64))
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.start[at] - upto[:-1], count)]
+        return ids, np.diff(upto[words])
+
+    def _plain(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all words, where each text's begin in them, with the end as the last) of plain texts."""
+        cut = plain_words(data, starts)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
+        return self._numbers(words), np.searchsorted(cut, starts)
+
+    def _words(self, text: str) -> list[str]:
+        if not (self.vocabulary.splitter and "<" in text and self.vocabulary.splitter.search(text)):
+            return words_of(text)
+        words: list[str] = []
+        for piece in self.vocabulary.splitter.split(text):
+            if piece in self.vocabulary.added:
+                words.append(ADDED + piece)
+            else:
+                words += words_of(piece)
+        return words
+
+    def _numbers(self, words: pa.BinaryArray) -> np.ndarray:
+        """The number of each word; words that are new are encoded and remembered."""
+        coded = words.dictionary_encode()
+        number = pc.index_in(coded.dictionary, value_set=self.known)
+        if number.null_count:
+            new = coded.dictionary.filter(number.is_null())
+            found = np.arange(len(self.known), len(self.known) + len(new), dtype=np.int32)
+            self._learn(new)
+            number = pc.replace_with_mask(number, number.is_null(), pa.array(found))
+        return number.to_numpy()[coded.indices.to_numpy()]
+
+    def _learn(self, new: pa.BinaryArray) -> None:
+        fixed = np.array([self.added.get(w, -1) for w in new.to_pylist()]) if len(new) and self.added and pc.any(pc.starts_with(new, ADDED)).as_py() else np.full(len(new), -1)
+        plain = fixed < 0
+        ids, own = self.encode_words(new if plain.all() else new.filter(pa.array(plain)))
+        if not plain.all():
+            count = np.ones(len(new), np.int64)
+            count[plain] = own
+            all_ids = np.empty(count.sum(), np.int64)
+            all_ids[(np.cumsum(count) - count)[~plain]] = fixed[~plain]
+            all_ids[np.repeat(plain, count)] = ids
+            ids, own = all_ids, count
+        self.known = pa.concat_arrays([self.known, new])
+        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(own) - own).astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.start = np.concatenate([self.start, base + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.known = len(self.numbers)
-
-    def _tail(self) -> list[str]:
-        """The newest words, from the end of the insertion order."""
-        out = []
-        for w in reversed(self.numbers):
-            out.append(w)
-            if len(out) == len(self.numbers) - self.known:
-                break
-        return out[::-1]
+        self.count = np.concatenate([self.count, own.astype(np.int32)])
 
 
 @lru_cache(maxsize=2)
@@ -252,20 +326,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(Vocabulary(path))
 
 
-#: Texts are encoded in runs of about so many characters, which bounds a task's memory whatever the batch.
-RUN_CHARS = 4_000_000
+#: Texts are encoded in runs of about so many bytes, which bounds a task's memory whatever the batch.
+RUN_BYTES = 4_000_000
 
 
-def runs(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, list[str]]]:
-    """(first row, end row, texts) of runs of rows; null texts are empty."""
+def runs(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, texts) of runs of rows."""
     texts, at = batch.column(column), 0
-    sizes = [0 if v is None else v for v in pa.compute.binary_length(texts).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto = np.append(0, np.cumsum(sizes, dtype=np.int64))
     while at < len(sizes):
-        end, total = at + 1, sizes[at]
-        while end < len(sizes) and total + sizes[end] <= RUN_CHARS:
-            total, end = total + sizes[end], end + 1
-        yield at, end, [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + RUN_BYTES, side="right")) - 1)
+        yield at, end, texts.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a worker serves many tasks; what it keeps the executor lacks
 
 
 def _encode(path: str):

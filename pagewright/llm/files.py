@@ -22,7 +22,8 @@ class Whole:
     def __init__(self, uri: str):
         self.fs, self.path = filesystem(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        folder, _, name = self.path.rpartition("/")
+        self.temporary = f"{folder}/_{name}.{uuid.uuid4().hex}.tmp"  # a name that readers of the folder pass over
 
     def __enter__(self):
         self.out = self.fs.open_output_stream(self.temporary)

@@ -8,6 +8,7 @@ the file) stands in columns of its own, which can be read without the ids.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,26 +31,40 @@ SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("start_in_file", pa
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 
+#: New words that the library is given at once.
+WORDS_AT_ONCE = 50_000
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
     """Distinct words are encoded by the tokenizers library; byte-level BPE never merges across words."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def words(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((i for ids in found for i in ids), dtype=np.int64, count=int(count.sum())), count
+    def words(new: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        new, ids, count = new.cast(pa.string()), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(new), WORDS_AT_ONCE):
+            some = new.slice(start, WORDS_AT_ONCE).to_pylist()
+            found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, dtype=np.int32))
+            count.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(count)
 
-    return Encoder(Vocabulary(path), remember=800_000, encode_words=words)
+    return Encoder(Vocabulary(path), encode_words=words)
 
 
 def _with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents with ``end_id`` after each, and the numbers of ids with it."""
+    count = count + 1
     ends = np.cumsum(count)
-    return np.insert(ids, ends, end_id).astype(np.int32), count + 1
+    out, inner = np.empty(len(ids) + len(count), np.int32), np.ones(len(ids) + len(count), dtype=bool)
+    inner[ends - 1] = False
+    out[inner], out[ends - 1] = ids, end_id
+    return out, count
 
 
 def _write(path: str, folder: str, encoding: str, group_ids: int, end_id: int):
@@ -99,17 +114,17 @@ def write_tokens(ws: Workspace, docs: DataFrame, path: str, partitions: int | No
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(part, doc_id, start, n_tokens, ids) as the files hold them; start counts the ids of all documents before.
 
-    Filters on doc_id and the choice of columns reach the files. The manifest is a row for each file.
+    Filters on doc_id and the choice of columns reach the files. The manifest is a row for each file; files that it
+    doesn't name, which a lost executor may leave, are not read.
     """
-    first = manifest.first()
-    if first is None:
+    paths = [r["path"] for r in manifest.select("path").collect()]
+    if not paths:
         return spark.createDataFrame([], "part int, doc_id long, start long, n_tokens long, ids array<int>")
-    folder = first["path"].rpartition("/")[0]
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offset = manifest.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
-    rows = spark.read.parquet(folder).select(part.alias("part"), "doc_id", "start_in_file", "n_tokens", "ids")
-    return rows.join(F.broadcast(offset), "part").select("part", "doc_id", (F.col("start_in_file") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    rows = spark.read.parquet(*paths).select(part.alias("part"), "doc_id", "start_in_file", "n_tokens", "ids")
+    return rows.join(offset, "part").select("part", "doc_id", (F.col("start_in_file") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
