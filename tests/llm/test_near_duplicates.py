@@ -62,6 +62,17 @@ def test_groups_match_brute_force(spark, tree_size, broadcast_entries):
     assert found == brute
 
 
+def test_fingerprints_of_the_table(spark, sf_dir):
+    from pagewright.llm.queries import QUERIES, table
+
+    rows = {r.doc_id: brute_fingerprint(r.text) for r in table(spark, sf_dir, "documents").collect()}
+    ids = sorted(rows)
+    linked = [(i, j) for k, i in enumerate(ids) for j in ids[:k] if (rows[i] ^ rows[j]).bit_count() <= 2]
+    component = components(ids, linked)
+    found = QUERIES["op3_simhash_bk_trees"](spark, sf_dir).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in found} == {(i, f"{rows[i]:016x}", component[i]) for i in ids}
+
+
 def test_bk_tree_follows_edges_within_the_radius():
     rng = np.random.default_rng(1)
     items = np.unique(rng.integers(0, 1 << 20, 500, dtype=np.uint64))
@@ -89,6 +100,15 @@ def test_keep_one_keeps_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]
 
 
+def test_keep_one_similar_keeps_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long, 1, 2, 3, "a"), (1, long + " more", 4, 5, 6, "b"), (None, long, 7, 8, 9, "c"), (1, long + " more", 4, 5, 6, "b"), (4, None, 1, 1, 1, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, id int, component_id int, `row.x` string")
+    kept = simhash_bk.keep_one_similar(Workspace(spark, "test"), docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(spark.createDataFrame([r], docs.schema).first()) for r in rows[1:])
+    assert simhash_bk.keep_one_similar(Workspace(spark, "test"), docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("part", [512, 4])
 def test_similar_texts_match_brute_force(spark, part):
     rng = np.random.default_rng(9)

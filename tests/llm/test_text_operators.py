@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -61,6 +62,43 @@ def test_density_finds_content_without_names():
     assert text.startswith("Head A long") and text.endswith("on. Short.") and "link" not in text and "Nice" not in text and "Search" not in text
 
 
+STORY = "A long sentence of the story goes on and on, and then some more. " * 6
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<div style="overflow:hidden">', "</div>"), ('<p title="a hidden gem">', "</p>"), ('<div data-id="comments-enabled">', "</div>"), ('<div class="layout has-sidebar">', "</div>"), ("<form action='/'>", "</form>"),
+        ('<div id="page" class="no-sidebar"><div class="main-menu"><a href=x>Menu</a></div>', '<div class="sidebar">About the author</div></div>'), ('<div class=modal-open>stray<div>', "</div></div>"),
+        ('<nav><a href=x>Menu</a></nav><div class="wrapper ads-enabled"><article>', "</article></div><div>Something else stands here, unnamed, and isn't short at all.</div>"),
+    ],
+)
+def test_marks_fall_where_the_article_would_go_with_them(before, after):
+    text = html_density.main_text(f"<html><body>{before}<p>{STORY}</p><p>{STORY}</p>{after}<footer>foot</footer></body></html>")
+    assert text.replace("stray ", "") == " ".join([STORY, STORY]).replace("  ", " ").strip()
+
+
+def test_marks_hold_where_the_article_stays():
+    advert = "Buy this thing now, it is the best of things that there ever was on sale. " * 3
+    for furniture in (f"<div class='ad'>{advert}</div>", f"<section id=comments>{advert}</section>", f"<aside>{advert}</aside>", f"<div role=banner>{advert}</div>", f"<div hidden>{advert}</div>", f"<div class='cookie-notice'><p>{advert}</p></div>"):
+        assert html_density.main_text(f"<body>{furniture}<div><h1>Title</h1><p>A short story.</p></div>{furniture}</body>") == "Title A short story."
+    assert html_density.main_text("<body><nav>menu</nav><footer>foot</footer></body>") == ""
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        page = "<i><div>" + "<b>" * n + f"<p>{STORY}</p>" + "</i></u></td>" * n + "<table>" + "<tr><td>x" * n
+        began = time.process_time()
+        assert STORY.strip() in html_density.main_text(page)
+        return time.process_time() - began
+
+    took(1000)
+    small, large = took(4000), took(40_000)
+    assert large < 40 * small + 1
+
+
 def test_extract_keeps_rows(spark):
     frame = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x</p>", "t"), (2, "u", "<p>x</p>", "t"), (2, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_density.extract(frame).collect()) == [(0, "x", 1), (1, "", 0), (2, "x", 1), (2, "x", 1)]
@@ -119,6 +157,12 @@ def test_edited_texts_of_unequal_rows_with_one_id(spark):
         assert sorted(r.edited_sha256 for r in found if r.doc_id == last) == told
 
 
+def test_merging_nothing(spark):
+    rows = spark.createDataFrame([("a", None), ("a", []), ("b", None), (None, [3, 1]), (None, [3, 1]), ("c", [5, 7])], "k string, sketch array<long>")
+    assert {r.k: r.sketch for r in bottomk.merge_all(rows, ["k"], "sketch").collect()} == {"a": [], "b": [], None: [1, 3], "c": [5, 7]}
+    assert bottomk.merge_all(rows.limit(0), ["k"], "sketch").count() == 0
+
+
 def test_sketches_merge(spark):
     text = " ".join(f"w{i}" for i in range(2000))
     other = " ".join(f"w{i}" for i in range(1000, 3000))
@@ -283,6 +327,33 @@ def test_model_of_odd_rows(spark):
     assert ngram_lm.Model(Workspace(spark, "test"), docs(spark, [])).scores().count() == 0
 
 
+def test_model_of_a_table_that_is_cut_otherwise_when_read_again(spark, sf_dir):
+    """Blocks are the same documents however many tasks read the table, so counts and texts always belong together."""
+    whole = QUERIES["op6_deleted_interpolation"](spark, sf_dir).collect()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    frame = table(spark, sf_dir, "documents")
+    try:
+        old, ngram_lm.BLOCK_BYTES = ngram_lm.BLOCK_BYTES, 64 << 10
+        model = ngram_lm.Model(Workspace(spark, "test"), frame)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        again = model.scores().collect()
+    finally:
+        ngram_lm.BLOCK_BYTES = old
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    same_scores(again, [tuple(r) for r in whole])
+
+
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    keys, counts = np.array([5, 9], "<u8").tobytes(), np.array([3_000_000_000, 7], "<u4").tobytes()
+    told = ngram_lm._sum(pa.Table.from_batches([ngram_lm._batch([(0, 0, 1, 0, keys, counts), (1, 1, 1, 0, keys, counts)], ngram_lm.REQUEST)])).to_pylist()
+    assert told[0]["n"] == 6_000_000_014 and told[0]["n_part"] == 3_000_000_007 and told[0]["v"] == 2
+    assert all(r["width"] == 8 and np.frombuffer(r["total"], "<u8").tolist() == [6_000_000_000, 14] for r in told[1:])
+
+
 def test_weights_come_from_evidence():
     bucket, n = np.array([3, 3]), np.array([90.0, 10.0])
     w = ngram_lm.learn_weights(bucket, np.array([0.5, 0.0]), np.array([0.01, 0.01]), 1e-6, n)
@@ -297,11 +368,13 @@ def library():
     return Tokenizer.from_file(vocabulary_path())
 
 
-def test_pair_index_is_the_library(library):
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize("by", ["pair index", "library"])
+def test_words_are_those_of_the_library(library, plain, by):
     rng = random.Random(1)
-    pool = [*" \n\t", "  ", "\x85", "\xa0", "\x1c", "a", "B", "é", "ß", "²", "½", "٣", "漢字", "!", "…", "😀", "<|endoftext|>", "<|", "'s", "'ll", "'T", "_", "\0", "º", "µ", "×", "aaaa", "abab", "the ", "ing", "﻿"]
+    pool = ["a", "s", "t", "re", "ve", "ll", "'", "'", " ", " ", "\n", "\t", "1", "9", "!", "é", "Ü", "S", "d", "m", "_"] if plain else [*" \n\t", "  ", "\x85", "\xa0", "\x1c", "a", "B", "é", "ß", "²", "½", "٣", "漢字", "!", "…", "😀", "<|endoftext|>", "<|", "'s", "'ll", "'T", "_", "\0", "º", "µ", "×", "aaaa", "abab", "the ", "ing", "﻿"]
     texts = ["", *("".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(3000)), "a" * 5000, " " * 999]
-    enc = bpe.Encoder(bpe.Vocabulary(vocabulary_path()))
+    enc = bpe.Encoder(bpe.Vocabulary(vocabulary_path())) if by == "pair index" else token_output.library_encoder(vocabulary_path())
     ids, count = enc.batch(texts)
     at = 0
     for text, n, e in zip(texts, count, library.encode_batch(texts, add_special_tokens=False), strict=True):
@@ -348,6 +421,16 @@ def test_token_files(spark, library, encoding):
     assert rows == expected
     assert found.where("doc_id = 5").select("n_tokens").first()[0] == expected[[e[0] for e in expected].index(5)][2]
     name = max(manifest.collect(), key=lambda r: r.n_tokens).path
+    with files.Whole(name) as out:  # what a lost executor leaves: a file that never got its name
+        fs, path = files.filesystem(name)
+        out.write(fs.open_input_file(path).read()[:100])
+        out.flush()
+        folder = name.rpartition("/")[0]
+        assert token_output.checksums(found).count() == spark.read.parquet(folder).count() == len(ODD)
+        out.write(fs.open_input_file(path).read()[100:])
+    assert token_output.checksums(found).count() == len(ODD)
+    seen = found.where("doc_id = 5").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,5)" in seen and "ids" not in seen.partition("ReadSchema:")[2].partition("\n")[0]
     fs, path = files.filesystem(name)
     meta = pq.read_metadata(path, filesystem=fs)
     column = meta.row_group(0).column(3)
@@ -396,6 +479,28 @@ def test_archives_round_trip(spark):
         whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
         assert whole.count(b"WARC-Type:") == index.where(F.col("archive") == name).count()
     assert warc.read_records(warc.write_archives(Workspace(spark, "test"), frame.limit(0))).count() == 0
+    assert warc.read_records(index, run=100_000).rdd.getNumPartitions() > 2  # runs are dealt out by number
+    name = next(r.archive for r in index.where("page_id = 6").collect())
+    fs, path = files.filesystem(name)
+    row = index.where("page_id = 6").first()
+    with files.Whole(name) as out:  # the same places, another payload
+        writer = warc.Writer(out, 1 << 20)
+        for r in sorted(index.where(F.col("archive") == name).collect(), key=lambda r: (r.frame, r.offset)):
+            writer.frame_bytes = 0 if r.offset == 0 else 1 << 20
+            writer.add(warc.record(r.page_id, "u", b"z" * 300_000, "A" * 32, None, False)[: r.length])
+        writer.close()
+    with pytest.raises(Exception, match="what its record says|no WARC record"):
+        warc.read_records(index.where("page_id = 6")).collect()
+    assert row.length > 300_000
+
+
+def test_archives_of_the_table(spark, sf_dir):
+    rows = {r.page_id: (r.html or "").encode() for r in table(spark, sf_dir, "pages").collect()}
+    last = {}
+    for i, p in rows.items():
+        last[p] = max(i, last.get(p, i))
+    expected = {(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if last[p] == i else "revisit", None if last[p] == i else last[p]) for i, p in rows.items()}
+    assert {tuple(r) for r in QUERIES["op8_seekable_warc"](spark, sf_dir).collect()} == expected
 
 
 # ---------------------------------------------------------------------------------------------- classifier
@@ -412,6 +517,27 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
         assert 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_scores_are_those_of_plain_rules(spark, sf_dir):
+    """Statistics and scores of whole texts against a plain version."""
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()] + [(i, t) for i, t, _ in ODD if i not in (5,)]
+    model = rule_ensemble.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = [(r.doc_id, r.score) for r in rule_ensemble.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
+
+    def plain(text):
+        t = text or ""
+        w, n = words(t), max(1, len(t))
+        share = lambda pattern: 1 - len(regex.sub(pattern, "", t)) / n
+        twice = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))"
+        values = [len(w), len(t) / max(1, len(w)), len(set(w)) / max(1, len(w)), share(twice), share(r"\p{Lu}+"), share("[0-9]+"), share("[!?]+"), share(r"[%$#&*@^~<>={}\\\[\]+_]+"), share(r"\|+"), share("[.,;:]+"), share(r"\n+")]
+        x = dict(zip(model.names, values, strict=True))
+        z = model.intercept + sum(weight for rule, weight in model.rules if all((x[k] > t) == above for k, above, t in rule.terms))
+        return 1 / (1 + math.exp(-z))
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(found, key=key), sorted(((i, plain(t)) for i, t in rows), key=key), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9
+
+
 def test_rules_compile_to_what_they_match(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, 2))
