@@ -309,12 +309,15 @@ def keep_one(ws: Workspace, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 #: 600,000. Of texts that share a fifth of their shingles, a passage say, one pair in ten meets in any.
 TEXT_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 20
 BANDS, BAND_ROWS = 14, 3
-#: How far below the bar the likeness may be that texts' sketches (a byte of each smallest hash) estimate.
-DOUBT = 0.3
+#: Smallest hashes of the sketches that say which texts of a shard to compare, a byte of each; and how far below the bar
+#: the likeness may be that they estimate: five times the estimate's standard deviation at the bar.
+SKETCH, DOUBT = 256, 0.125
+#: Pairs of texts of a shard that are looked at together: bounds the memory of a task.
+PAIRS_AT_ONCE = 1 << 20
 #: A larger shard is dealt in parts of about this many texts, and where whole texts meet of this many shingles.
 PART, PART_SHINGLES = 512, 1 << 21
 _rng = np.random.default_rng(5)
-_FLIP, _TIMES = (_rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+_FLIP, _TIMES = (_rng.integers(0, 1 << 63, BANDS * BAND_ROWS + SKETCH, dtype=np.uint64) for _ in range(2))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
 
 
@@ -335,40 +338,38 @@ def _bits_of(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def smallest(distinct: np.ndarray) -> np.ndarray:
-    """The smallest hash under each permutation; ``distinct`` isn't empty."""
-    low = np.full(len(_FLIP), np.iinfo(np.uint64).max)
+def smallest(distinct: np.ndarray, which: slice) -> np.ndarray:
+    """The smallest hash under each of the permutations; ``distinct`` isn't empty."""
+    flip, times = _FLIP[which], _TIMES[which]
+    low = np.full(len(flip), np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
-        for start in range(0, len(distinct), 2048):
-            np.minimum(low, ((distinct[start : start + 2048, None] ^ _FLIP) * _TIMES).min(axis=0), out=low)
+        for start in range(0, len(distinct), 1024):
+            np.minimum(low, ((distinct[start : start + 1024, None] ^ flip) * times).min(axis=0), out=low)
     return low
 
 
-DESCRIBED = "node long, fp long, size int, keys array<long>, sketch binary"
+DESCRIBED = "node long, fp long, keys array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, keys, sketches, sizes = [], [], [], []
+        fps, keys = [], []
         for t in batch.column(1):
             distinct = np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b""))
-            sizes.append(len(distinct))
             if not len(distinct):
-                fps.append(0), keys.append([]), sketches.append(b"")
+                fps.append(0), keys.append([])
                 continue
             fps.append(_bits_of(distinct))  # a line that repeats outweighs nothing
-            low = smallest(distinct)
-            bands = low.reshape(BANDS, BAND_ROWS)
+            bands = smallest(distinct, slice(0, BANDS * BAND_ROWS)).reshape(BANDS, BAND_ROWS)
             keys.append([xxhash.xxh64_intdigest(bands[i].tobytes(), i) - (1 << 63) for i in range(BANDS)])
-            sketches.append(((low >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes())
         fp = np.array(fps, dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[c.split(" ")[0] for c in DESCRIBED.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=[c.split(" ")[0] for c in DESCRIBED.split(", ")])
 
 
 def _sketches(packed: pa.BinaryArray) -> np.ndarray:
     """The sketches of a column without nulls, a row for each."""
     if not len(packed):
-        return np.zeros((0, BANDS * BAND_ROWS), np.uint8)
+        return np.zeros((0, SKETCH), np.uint8)
     ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
     return np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(packed), -1)
 
@@ -409,56 +410,76 @@ def spanning_pairs(n: int, a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -
     return chosen
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of whole groups, where each group begins) of sorted rows; a group has the same first ``keys`` columns."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        names = [table.column(k).to_numpy() for k in range(keys)]
+        starts = np.append(0, np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1)
+        held = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
 def _candidates(radius: int, similarity: float):
-    """Of each group of rows (node, fp, size, sketch): pairs that connect what is likely similar.
+    """Of each group of rows (key, part, node, fp, size, sketch): pairs that connect what is likely similar.
 
     A BK-tree gives the pairs whose fingerprints are within the radius, sketches and sizes say which of them may be
     similar. The likeliest that connect them all are chosen, and those of the text that is like most of the others.
     """
 
+    def told(node: np.ndarray, fp: np.ndarray, size: np.ndarray, sketches: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = np.diff(np.append(starts, len(node)))
+        b, a = BKForest(fp, starts).within(fp, np.repeat(starts, count), radius)
+        a, b = a[a < b], b[a < b]
+        fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+        a, b = a[fit], b[fit]
+        near = np.concatenate([np.zeros(0), *(_likeness(sketches[a[k : k + 16384]], sketches[b[k : k + 16384]]) for k in range(0, len(a), 16384))])
+        ok = near >= similarity - DOUBT
+        a, b, near = a[ok], b[ok], near[ok]
+        keep, middle = np.zeros(len(a), dtype=bool), np.zeros(len(node), dtype=bool)
+        if len(a):
+            keep[spanning_pairs(len(node), a, b, near)] = True
+            total, group = np.bincount(a, near, len(node)) + np.bincount(b, near, len(node)), np.repeat(np.arange(len(starts)), count)
+            at = np.flatnonzero(total == np.maximum.reduceat(total, starts)[group])
+            middle[at[np.unique(group[at], return_index=True)[1]]] = True
+            keep |= middle[a] | middle[b]
+        return node[a[keep]], node[b[keep]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            ends = batch.column(0).offsets.to_numpy()
-            ends = ends - ends[0]
-            node, fp, size = (batch.column(i).flatten().to_numpy() for i in range(3))
-            packed = _sketches(batch.column(3).flatten())
-            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                bits = fp[lo:hi].view("<u8")
-                b, a = BKTree(bits).near(bits, radius)
-                a, b = a[a < b], b[a < b]
-                own = size[lo:hi].astype(float)
-                fit = np.minimum(own[a], own[b]) >= similarity * np.maximum(own[a], own[b])
-                a, b = a[fit], b[fit]
-                if not len(a):
-                    continue
-                sketches = packed[lo:hi]
-                near = np.concatenate([_likeness(sketches[a[k : k + 65536]], sketches[b[k : k + 65536]]) for k in range(0, len(a), 65536)])
-                ok = near >= similarity - DOUBT
-                a, b, near = a[ok], b[ok], near[ok]
-                if not len(a):
-                    continue
-                keep = np.zeros(len(a), dtype=bool)
-                keep[spanning_pairs(hi - lo, a, b, near)] = True
-                total = np.bincount(a, near, hi - lo) + np.bincount(b, near, hi - lo)
-                middle = int(total.argmax())
-                keep |= (a == middle) | (b == middle)
-                left.append(node[lo:hi][a[keep]]), right.append(node[lo:hi][b[keep]])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
+        for table, starts in _whole_groups(batches, 2):
+            node, fp, size = (table.column(k).to_numpy() for k in (2, 3, 4))
+            fp, size, sketches = fp.view("<u8"), size.astype(float), _sketches(table.column(5).combine_chunks())
+            ends = np.append(starts[1:], len(node))
+            work = np.cumsum((ends - starts) ** 2) // PAIRS_AT_ONCE
+            for k in np.unique(work):
+                own = np.flatnonzero(work == k)
+                lo, hi = starts[own[0]], ends[own[-1]]
+                a, b = told(node[lo:hi], fp[lo:hi], size[lo:hi], sketches[lo:hi], starts[own] - lo)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
+SETS = "node long, size int, sketch binary, shingles array<long>"
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of texts that aren't empty, and sketches of them."""
     for whole in batches:
         for start in range(0, whole.num_rows, 512):  # what a worker once held it keeps
             batch = whole.slice(start, 512)
-            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes())).view("<i8") for t in batch.column(1)]
-            ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes())) for t in batch.column(1)]
+            size = np.array([len(x) for x in sets])
+            sketches = [((smallest(x, slice(BANDS * BAND_ROWS, None)) >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes() for x in sets]
+            ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view("<i8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(sketches, pa.binary()), lists.cast(pa.list_(pa.int64()))], names=[c.split(" ")[0] for c in SETS.split(", ")])
 
 
 def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
@@ -490,32 +511,41 @@ def unlinked_pairs(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray,
     return a, b
 
 
-SUSPECTS = "key long, p long, q long, node long, root long, side int"
+SUSPECTS = "key long, p long, q long, node long, root long, side int, other long"
+#: A group with at most so many suspected pairs names them one by one: texts share several shards, and a pair named in
+#: each of them is compared once. A group with more is compared as a group.
+FEW = 64
 
 
 def _suspects(similarity: float):
-    """Of rows (key, p, q, nodes, roots, sizes, sketches, sides): those that may be similar to one of the other side and
-    another root."""
+    """Of rows (key, p, q, node, root, side, size, sketch): those that may be similar to one of the other side and
+    another root, with no ``other``; or, of groups with few such pairs, the pairs (node, other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = batch.column(3).offsets.to_numpy()
-            ends = ends - ends[0]
-            node, root, size, side = (batch.column(i).flatten().to_numpy() for i in (3, 4, 5, 7))
-            packed = _sketches(batch.column(6).flatten())
-            keep = np.zeros(len(node), dtype=bool)
-            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        names = [c.split(" ")[0] for c in SUSPECTS.split(", ")]
+        for table, starts in _whole_groups(batches, 3):
+            node, root, side, size = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
+            sketches = _sketches(table.column(7).combine_chunks())
+            rows, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            alone = []
+            for lo, hi in zip(starts, np.append(starts[1:], len(root)), strict=True):
                 x, y = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+                found = []
                 for i in y:
                     small, large = np.minimum(size[x], size[i]), np.maximum(size[x], size[i])
                     near = x[(root[x] != root[i]) & (small >= similarity * large)]
                     if len(near):
-                        near = near[_likeness(packed[near], packed[i][None, :]) >= similarity - DOUBT]
-                        keep[near] = True
-                        keep[i] |= len(near) > 0
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))[keep]
-            columns = [batch.column(c).take(pa.array(row)) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(node[keep]), pa.array(root[keep]), pa.array(side[keep], pa.int32())], names=[c.split(" ")[0] for c in SUSPECTS.split(", ")])
+                        near = near[_likeness(sketches[near], sketches[i][None, :]) >= similarity - DOUBT]
+                        found.append((i, near))
+                if sum(len(near) for _, near in found) <= FEW:
+                    for i, near in found:
+                        rows.append(np.full(len(near), i)), other.append(node[near])
+                else:
+                    alone.append(np.unique(np.concatenate([np.append(near, i) for i, near in found if len(near)])))
+            at, group = np.concatenate(rows), np.concatenate([np.zeros(0, np.int64), *alone])
+            with_other = pa.concat_arrays([pa.array(np.concatenate(other), pa.int64()), pa.nulls(len(group), pa.int64())])
+            told = table.select(range(6)).take(pa.array(np.concatenate([at, group]))).append_column("other", with_other)
+            yield from told.rename_columns(names).combine_chunks().to_batches()
 
     return run
 
@@ -580,17 +610,16 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     members = split_join(keyed, shared, ("key", "k"), "n", told.count() * BANDS).select("key", "node").distinct()
     members = ws.save(members, "members")
     ends = ws.save(members.select(F.col("node").alias("end")).distinct(), "ends")
-    payload = told.select("node", "fp", "size", "sketch").dropDuplicates(["node"]).join(ends, F.col("node") == F.col("end")).drop("end")
-    payload = ws.save(payload.withColumnRenamed("node", "of"), "payload")
     full = rows.join(ends, F.col("node") == F.col("end")).select("node", "text").dropDuplicates(["node"])
-    full = ws.save(full.select("node", F.col("text").cast("binary")).mapInArrow(_shingle_sets, "node long, shingles array<long>"), "shingles")
+    full = ws.save(full.select("node", F.col("text").cast("binary")).mapInArrow(_shingle_sets, SETS), "shingles")
+    payload = full.select(F.col("node").alias("of"), "size", "sketch")
+    prints = ws.save(told.select("node", "fp").distinct().join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("name"), "fp"), "prints")
 
     total = members.count()
     sizes = ws.save(members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")), "shard-sizes")
     dealt = split_join(members, sizes, ("key", "k"), "n", total).withColumn("parts", F.ceil(F.col("n") / part)).withColumn("part", _part("parts"))
-    dealt = dealt.join(payload, F.col("node") == F.col("of"))
-    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "fp", "size", "sketch")]
-    groups = dealt.groupBy("key", "part").agg(*lists).where(F.size("nodes") > 1).select("nodes", "fps", "sizes", "sketchs")
+    dealt = dealt.join(payload, F.col("node") == F.col("of")).join(prints, F.col("node") == F.col("name"))
+    groups = dealt.select("key", "part", "node", "fp", "size", "sketch").repartition("key", "part").sortWithinPartitions("key", "part")
     pairs = ws.save(groups.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "pairs")
     links = ws.save(_compared(pairs, full, similarity), "links")
     roots = connected_components(ws, links, "linked").select(F.col("node").alias("r"), "root")
@@ -620,13 +649,15 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     both = open_.join(still, F.col("key") == F.col("k")).join(payload, F.col("node") == F.col("of")).select("key", "node", "root", "size", "sketch", "main", "ps", "qs")
     all_ = both.withColumn("side", F.lit(0)).withColumn("p", _part("ps")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
     lone = both.where("root <> main").withColumn("side", F.lit(1)).withColumn("q", _part("qs")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ps") - 1)))
-    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "root", "size", "sketch", "side")]
-    groups = all_.unionByName(lone).groupBy("key", "p", "q").agg(*lists).where(F.array_contains("sides", 1))
+    groups = all_.unionByName(lone).select("key", "p", "q", "node", "root", "side", "size", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     found = ws.save(groups.mapInArrow(_suspects(similarity), SUSPECTS), "suspects")
-    rest = found.join(full.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("key", "p", "q", "node", "root", "side", "shingles")
+    # pairs that were compared before aren't again
+    one_by_one = found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = ws.save(_compared(one_by_one, full, similarity), "pair-links")
+    rest = found.where("other is null").drop("other").join(full.select(F.col("node").alias("of"), "shingles"), F.col("node") == F.col("of")).select("key", "p", "q", "node", "root", "side", "shingles")
     rest = rest.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    more = ws.save(rest.mapInArrow(_similar_in_full(similarity), "a long, b long"), "more-links")
-    roots = connected_components(ws, links.union(stars).union(more), "similar")
+    rest = ws.save(rest.mapInArrow(_similar_in_full(similarity), "a long, b long"), "group-links")
+    roots = connected_components(ws, links.union(stars).union(more).union(rest), "similar")
     return _named(ws, classes, roots, "of").select(F.col("of").alias("node"), "component_id", "copies")
 
 
