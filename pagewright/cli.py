@@ -17,9 +17,9 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("pagewright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _rows(df, most: int = 1000) -> list[dict]:
-    """Rows to show, as many as a screen can take."""
-    return [r.asDict(True) for r in df.limit(most).collect()]
+def _rows(df) -> list[dict]:
+    """All rows, a partition at a time."""
+    return [r.asDict(True) for r in df.toLocalIterator()]
 
 
 def _print(rows: list[dict]) -> int:

@@ -38,9 +38,10 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.select("path", "length", sha.alias("sha256"), T.document_uuid(sha).alias("document_id"))
 
 
-def guard(files: DataFrame, max_bytes: int = 0, max_pages: int = 0) -> DataFrame:
-    """``files(path, length[, page_count])`` with ``error``: why a file isn't taken, null if it is. Zero is no limit."""
-    error = F.when(~F.lower("path").endswith(".pdf"), "not a PDF file")
+def guard(files: DataFrame, max_bytes: int = 0, max_pages: int = 0, pdf_only: bool = True) -> DataFrame:
+    """``files(path, length[, page_count])`` with ``error``: why a file isn't taken, null if it is. Zero is no limit;
+    an engine that takes other files than PDF still has limits."""
+    error = F.when(F.lit(pdf_only) & ~F.lower("path").endswith(".pdf"), "not a PDF file")
     if max_bytes:
         error = error.when(F.col("length") > max_bytes, "file is larger than the limit")
     if max_pages and "page_count" in files.columns:

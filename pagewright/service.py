@@ -120,7 +120,7 @@ class Library:
         Content that is complete already is answered from the tables; the same content under two names is one document.
         """
         now, started = int(time.time()), time.time()
-        guarded = D.guard(D.hashed(found).join(found.select("path", "content"), "path"), self.config.imports.max_bytes).withColumn("error", F.when(F.lit(self.engine.name != "markdown"), F.col("error")))
+        guarded = D.guard(D.hashed(found).join(found.select("path", "content"), "path"), self.config.imports.max_bytes, pdf_only=self.engine.name != "markdown")
         good = D.first_of_hash(guarded.where("error is null"))
         documents = self.tables.read("documents")
         new = good if force else D.not_cached(good, documents)

@@ -11,6 +11,10 @@ from pagewright.service import Library, LibraryError, reply
 MAX_RESULTS, MIN_IMAGE_TOKENS, MAX_IMAGE_TOKENS = 10, 150, 1800
 
 
+#: Lines of a listing in one reply.
+MAX_LINES = 200
+
+
 class Tools:
     """Fifteen tools over one library. Document text is marked as data; listings are short by themselves."""
 
@@ -32,7 +36,12 @@ class Tools:
 
     @staticmethod
     def _lines(df) -> str:
-        return "\n".join(json.dumps(r.asDict(True), ensure_ascii=False, default=str) for r in df.limit(200).collect())
+        """A line for each row; of a longer listing the first MAX_LINES, and how many more there are."""
+        df = df.cache()
+        more = max(0, df.count() - MAX_LINES)
+        lines = [json.dumps(r.asDict(True), ensure_ascii=False, default=str) for r in df.limit(MAX_LINES).collect()]
+        df.unpersist()
+        return "\n".join([*lines, *([f"{more} more rows are not shown."] if more else [])])
 
     def import_pdf(self, path: str, force: bool = False) -> str:
         job = self.library.submit("import", lambda: self.library.import_pdf(path, force))

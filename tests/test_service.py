@@ -206,3 +206,12 @@ def test_stream_of_documents(spark, tmp_path, sf_dir):
     n = chunks.count()
     landing.process(landing.distinct_content(stream), landing.index_into(str(tmp_path / "chunks")), str(tmp_path / "check"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == n
+
+
+def test_limits_hold_for_every_engine(spark, folder, tmp_path):
+    import dataclasses
+
+    lib = Library(spark, str(tmp_path / "small"))
+    lib.config = dataclasses.replace(lib.config, imports=dataclasses.replace(lib.config.imports, max_bytes=5))
+    found = lib.import_pdf(folder).collect()
+    assert found and all(r.status != "complete" and "larger than the limit" in r.error for r in found)
