@@ -662,11 +662,17 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
 
 
 def _compared(pairs: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    both = pairs.join(full.select(F.col("node").alias("na"), F.col("shingles").alias("x")), F.col("a") == F.col("na"))
-    both = both.join(full.select(F.col("node").alias("nb"), F.col("shingles").alias("y")), F.col("b") == F.col("nb"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
+    """The pairs (a, b), each of two nodes and named once, whose texts are similar.
+
+    Only the sets of the pairs' ends travel, once for each pair, whatever the tables' sizes; ``full`` is read in place
+    where the pairs are small enough to be sent to it.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
+    met = ends.join(full.select(F.col("node").alias("of"), "shingles"), F.col("end") == F.col("of"))
+    both = met.select("a", "b", "shingles").repartition("a", "b").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets")).where(F.size("sets") == 2)
+    x, y = F.col("sets")[0], F.col("sets")[1]
+    shared = F.size(F.array_intersect(x, y))
+    return both.where(shared / (F.size(x) + F.size(y) - shared) >= similarity).select("a", "b")
 
 
 def keep_one_similar(ws: Workspace, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
