@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.graph import connected_components, split_join
+from pagewright.sieve import Sieve
 from pagewright.workspace import Workspace, ship
 
 BITS = 64
@@ -607,10 +608,13 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     keyed = told.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("k", "n")
     shared = ws.save(shared, "shared-keys")
+    keyed = ws.save(keyed.where(Sieve(shared, shared.count(), "k").may_hold(F.col("key"))), "keyed")
     members = split_join(keyed, shared, ("key", "k"), "n", told.count() * BANDS).select("key", "node").distinct()
     members = ws.save(members, "members")
     ends = ws.save(members.select(F.col("node").alias("end")).distinct(), "ends")
-    full = rows.join(ends, F.col("node") == F.col("end")).select("node", "text").dropDuplicates(["node"])
+    # few texts are in a shard: only those are dealt out
+    full = rows.select("node", "text").where(Sieve(ends, ends.count(), "end").may_hold(F.col("node"))).dropDuplicates(["node"])
+    full = full.join(ends, F.col("node") == F.col("end"))
     full = ws.save(full.select("node", F.col("text").cast("binary")).mapInArrow(_shingle_sets, SETS), "shingles")
     payload = full.select(F.col("node").alias("of"), "size", "sketch")
     prints = ws.save(told.select("node", "fp").distinct().join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("name"), "fp"), "prints")
@@ -637,7 +641,7 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     apart = ws.save(apart, "apart")
     open_ = ws.save(split_join(held, apart, ("key", "k"), "n", total).drop("k", "n"), "open")
     stars = open_.where("root <> main and root <> hub.root and hub.degree > 0").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    stars = ws.save(_compared(stars, full, similarity), "star-links")
+    stars = ws.save(_compared(ws.save(stars, "stars"), full, similarity), "star-links")
     # labels that the stars make equal; equal labels are connected, and that is all they have to tell
     where = roots.withColumnRenamed("root", "at")
     met = stars.join(where, F.col("a") == F.col("r"), "left").withColumn("x", F.coalesce("at", "a")).drop("r", "at")
@@ -653,22 +657,29 @@ def similar_groups(ws: Workspace, docs: DataFrame, similarity: float = SIMILARIT
     found = ws.save(groups.mapInArrow(_suspects(similarity), SUSPECTS), "suspects")
     # pairs that were compared before aren't again
     one_by_one = found.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    one_by_one = ws.save(one_by_one, "one-by-one")
     more = ws.save(_compared(one_by_one, full, similarity), "pair-links")
-    rest = found.where("other is null").drop("other").join(full.select(F.col("node").alias("of"), "shingles"), F.col("node") == F.col("of")).select("key", "p", "q", "node", "root", "side", "shingles")
+    rest = found.where("other is null").drop("other")
+    rest = rest.join(_sets_of(rest, rest.count(), "node", full), F.col("node") == F.col("of")).select("key", "p", "q", "node", "root", "side", "shingles")
     rest = rest.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     rest = ws.save(rest.mapInArrow(_similar_in_full(similarity), "a long, b long"), "group-links")
     roots = connected_components(ws, links.union(stars).union(more).union(rest), "similar")
     return _named(ws, classes, roots, "of").select(F.col("of").alias("node"), "component_id", "copies")
 
 
+def _sets_of(rows: DataFrame, count: int, node: str, full: DataFrame) -> DataFrame:
+    """(of, shingles) of the nodes of ``rows``, ``count`` rows, and of a few others: ``full`` without what a join drops."""
+    return full.where(Sieve(rows, count, node).may_hold(F.col("node"))).select(F.col("node").alias("of"), "shingles")
+
+
 def _compared(pairs: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b), each of two nodes and named once, whose texts are similar.
 
-    Only the sets of the pairs' ends travel, once for each pair, whatever the tables' sizes; ``full`` is read in place
-    where the pairs are small enough to be sent to it.
+    Only the sets of the pairs' ends travel, whatever the tables' sizes: once each, and once for each pair. ``pairs`` is
+    read twice.
     """
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
-    met = ends.join(full.select(F.col("node").alias("of"), "shingles"), F.col("end") == F.col("of"))
+    met = ends.join(_sets_of(ends, 2 * pairs.count(), "end", full), F.col("end") == F.col("of"))
     both = met.select("a", "b", "shingles").repartition("a", "b").groupBy("a", "b").agg(F.collect_list("shingles").alias("sets")).where(F.size("sets") == 2)
     x, y = F.col("sets")[0], F.col("sets")[1]
     shared = F.size(F.array_intersect(x, y))
@@ -680,6 +691,7 @@ def keep_one_similar(ws: Workspace, docs: DataFrame, similarity: float = SIMILAR
 
     Rows with a null doc_id stay, as do rows that repeat a kept doc_id with the same text. What goes are (doc_id, text)
     pairs, told by ids and hashes; columns keep their names, whatever those are. An empty table gives an empty table.
+    Texts of which a filter tells that they stay aren't moved. Of the run's tables the one of rows that go is left.
     """
     groups = similar_groups(ws, docs, similarity)
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -688,5 +700,8 @@ def keep_one_similar(ws: Workspace, docs: DataFrame, similarity: float = SIMILAR
     told = split_join(ids, groups.withColumnRenamed("node", "of"), ("node", "of"), "copies", ids.count())
     gone = ws.save(told.where("id <> component_id").select("id", "node"), "gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("row_id"), node.alias("row_node"))
-    kept = rows.join(gone, (F.col("row_id") == F.col("id")) & (F.col("row_node") == F.col("node")), "left_anti")
+    may_go = Sieve(gone, gone.count(), "id", "node").may_hold(F.col("row_id"), F.col("row_node"))
+    ws.keep_only("gone")
+    held = rows.where(may_go).join(gone, (F.col("row_id") == F.col("id")) & (F.col("row_node") == F.col("node")), "left_anti")
+    kept = rows.where(~may_go).union(held)
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -240,3 +240,39 @@ def test_vectors_with_nulls_and_copies(spark):
             assert (r.n_links, r.component_id) == brute[r.vec_id], r
             assert r.kept == (r.vec_id == r.component_id)
     assert pivot_index.near_duplicates(Workspace(spark, "test"), spark.createDataFrame([], VECTORS)).count() == 0
+
+
+# ---------------------------------------------------------------------------------------------- what joins move
+
+
+def moved_rows(node):
+    """Most rows that one exchange of an executed plan has written."""
+    name, below = node.nodeName(), [node.children().apply(i) for i in range(node.children().size())]
+    if name == "AdaptiveSparkPlan":
+        below = [node.executedPlan()]
+    elif name.endswith("QueryStage"):
+        below = [node.plan()]
+    own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return max([own, *map(moved_rows, below)])
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    rows = [(i, " ".join(f"w{i % 950}x{k}" for k in range(12)), "x", "y", 1) for i in range(1000)]
+    bar = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rows that go were too many to be sent
+    try:
+        kept = simhash_bk.keep_one_similar(Workspace(spark, "test"), spark.createDataFrame([*rows, (None, rows[0][1], "x", "y", 1)], DOCS))
+        ids = [r.doc_id for r in kept.collect()]
+        assert sorted(i for i in ids if i is not None) == list(range(950)) and ids.count(None) == 1
+        assert 50 <= moved_rows(kept._jdf.queryExecution().executedPlan()) <= 100  # 50 of 1,001 go
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
+
+
+def test_a_sieve_holds_all_its_keys_and_few_others(spark):
+    from pagewright.sieve import Sieve
+
+    rows = spark.range(20000)
+    found = rows.where(Sieve(rows.where("id < 10000"), 10000, "id").may_hold(F.col("id"))).agg(F.count_if(F.col("id") < 10000), F.count("*")).first()
+    assert found[0] == 10000 and found[1] < 10150
+    assert rows.where(Sieve(rows.limit(0), 0, "id").may_hold(F.col("id"))).count() == 0
