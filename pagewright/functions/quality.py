@@ -88,21 +88,36 @@ def assess(markdown: Column) -> Column:
     as an empty page. ``table_count`` counts rows of tables.
     """
     markdown = F.coalesce(markdown, F.lit(""))
-    text = trim(markdown)
-    n = F.length(text)
-    letters = count(text, r"\p{L}")
-    garbled = count(text, r"[\x{FFFD}\x{E000}-\x{F8FF}]") / F.greatest(n, F.lit(1))
-    bodies = F.regexp_extract_all(markdown, F.lit(DISPLAY), 1)
-    unbalanced = F.exists(bodies, lambda b: occurrences(b, "{") != occurrences(b, "}"))
-    stray = F.when(F.contains(markdown, F.lit("\\")), count(drop(drop(markdown, DISPLAY, " "), INLINE, " "), r"\\[a-zA-Z]+")).otherwise(0)
-    products = count(markdown, LABEL_PRODUCT_BELOW)
-    fractions = products + count(markdown, LABEL_BELOW)
-    contradictory = _contradictions(markdown)
+    has = lambda mark: F.contains(markdown, F.lit(mark))
+    none = F.array().cast("array<string>")
+    parts = {
+        "n": F.length(trim(markdown)),
+        "few": ~markdown.rlike(r"(?:\p{L}\P{L}*+){20}"),
+        "odd": count(markdown, r"[\x{FFFD}\x{E000}-\x{F8FF}]"),
+        "unmatched": F.when(has("$"), unmatched_dollars(markdown)).otherwise(False),
+        "bodies": F.when(has("$"), F.regexp_extract_all(markdown, F.lit(DISPLAY), 1)).otherwise(none),
+        "stray": F.when(has("\\"), count(drop(drop(markdown, DISPLAY, " "), INLINE, " "), r"\\[a-zA-Z]+")).otherwise(0),
+        "products": F.when(has("\\frac"), count(markdown, LABEL_PRODUCT_BELOW)).otherwise(0),
+        "below": F.when(has("\\frac"), count(markdown, LABEL_BELOW)).otherwise(0),
+        "contradictory": F.when(has("$"), _contradictions(markdown)).otherwise(0),
+        "inline": F.when(has("$"), count(markdown, INLINE)).otherwise(0),
+        "rows": F.when(has("|"), count(markdown, TABLE_ROW)).otherwise(0),
+    }
+    # an array of one, so that its parts are worked out once, however often they are named
+    return F.get(F.transform(F.array(F.struct(*(c.alias(name) for name, c in parts.items()))), _judged), F.lit(0))
+
+
+def _judged(p: Column) -> Column:
+    """What the parts of a page come to."""
+    n, stray, products, contradictory = p["n"], p["stray"], p["products"], p["contradictory"]
+    garbled = p["odd"] / F.greatest(n, F.lit(1))
+    fractions = products + p["below"]
+    unbalanced = F.exists(p["bodies"], lambda b: occurrences(b, "{") != occurrences(b, "}"))
     label = lambda name, value: F.concat(F.lit(f"{name}:"), value.cast("string"))
     rules = [
-        (letters < 20, F.lit("almost_no_text"), F.lit(0.5)),
+        (p["few"], F.lit("almost_no_text"), F.lit(0.5)),
         (garbled > 0.02, F.concat(F.lit("garbled_chars:"), F.format_string("%.2f", F.bround(garbled * 100, 2)), F.lit("%")), F.least(F.lit(0.6), garbled * 10)),
-        (unmatched_dollars(markdown), F.lit("unbalanced_math_delimiters"), F.lit(0.3)),
+        (p["unmatched"], F.lit("unbalanced_math_delimiters"), F.lit(0.3)),
         (unbalanced, F.lit("unbalanced_braces_in_display_math"), F.lit(0.15)),
         (stray > 2, label("latex_outside_math", stray), F.least(F.lit(0.3), stray * 0.05)),
         (products > 0, label("underbrace_as_fraction", fractions), F.least(F.lit(0.45), fractions * 0.15)),
@@ -119,11 +134,11 @@ def assess(markdown: Column) -> Column:
         F.bround(score, 3).alias("score"),
         state(score).alias("state"),
         F.when(empty, F.array(F.lit("empty_page"))).otherwise(issues).alias("issues"),
-        zero(math_count(markdown)).alias("math_count"),
-        zero(count(markdown, TABLE_ROW)).alias("table_count"),
+        zero(F.size(p["bodies"]) + p["inline"]).alias("math_count"),
+        zero(p["rows"]).alias("table_count"),
         zero(n).alias("char_count"),
-        (~empty & (letters >= 20)).alias("has_text"),
-        zero(F.size(bodies)).alias("display_math_count"),
+        (~empty & ~p["few"]).alias("has_text"),
+        zero(F.size(p["bodies"])).alias("display_math_count"),
     )
 
 
