@@ -65,6 +65,12 @@ def test_postings_are_the_tokens_and_trigrams_of_each_passage(spark, chunks):
     assert index.lengths.count() == chunks.count()
 
 
+def test_frequencies_are_those_of_the_postings(chunks, written):
+    columns = ("col", "term", "df", "cf")
+    told = rows(I.frequencies(written), *columns)
+    assert {r[0] for r in told} == {"search_text", "heading", "fuzzy"} and told == rows(I.frequencies(I.build(chunks)), *columns)
+
+
 def test_read_and_written_indexes_score_alike(spark, chunks, written):
     columns = ("query_id", "stage", "chunk_id", "score")
     told = rows(S.hits(written, asked(spark)), *columns)
@@ -102,3 +108,13 @@ def test_the_best_are_kept_whatever_the_blocks(monkeypatch):
         monkeypatch.setattr(scan, "CELLS", cells)
         found = list(scorer.best({}, 10)([batch.slice(k, 90) for k in range(0, 400, 90)]))
         assert best(found) == told and sum(b.num_rows for b in found) < 200
+
+
+def test_trigrams_are_coded_by_table_and_by_sorting_alike(monkeypatch):
+    rng = random.Random(5)
+    gram = np.array([scan.pack("".join(rng.choices("abé𝒳日", k=rng.randint(1, 3)))) for _ in range(500)], np.int64)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(scan, "MOST_TABLE", most)
+        names, code = scan._coded(gram)
+        assert (names[code] == gram).all() and (np.diff(names) > 0).all()
+    assert [len(x) for x in scan._coded(gram[:0])] == [0, 0]
